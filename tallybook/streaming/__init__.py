@@ -1,0 +1 @@
+"""Nothing to build here: the work this package covers has no stream processing."""
