@@ -163,24 +163,29 @@ def iso_seconds(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    """200 * LCS(a, b) / (|a| + |b|), the LCS as one row of the table folded over `a`."""
-    letters_b = F.split(b, "")
-
-    def step(row: Column, x: Column) -> Column:
-        # Walk b once: `left` is the new row so far, `diag` the old cell one column back.
-        cells = F.aggregate(
-            F.sequence(F.lit(1), F.length(b)),
-            F.array(F.lit(0)),
-            lambda new, j: F.concat(new, F.array(F.when(
-                F.get(letters_b, j - 1) == x, F.get(row, j - 1) + 1,
-            ).otherwise(F.greatest(F.get(row, j), F.get(new, j - 1))))),
-        )
-        return cells
-
-    start = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
-    last = F.aggregate(F.split(a, ""), start, step)
-    total = F.length(a) + F.length(b)
-    lcs = F.element_at(last, -1)
-    return F.when((F.length(a) > 0) & (F.length(b) > 0), lcs * F.lit(200.0) / total) \
-        .otherwise(F.lit(0.0))
+def letter_masks(word: str) -> dict[str, int]:
+    """Bit i of a letter's mask is set where the word has that letter at place i."""
+    masks: dict[str, int] = {}
+    for i, letter in enumerate(word):
+        masks[letter] = masks.get(letter, 0) | 1 << i
+    return masks
+
+
+def common_letters(text: Column, masks: Column, size: Column) -> Column:
+    """Length of the longest common subsequence of `text` and a word of at most 60 letters.
+
+    The word is given as its letter masks, so each letter of the text costs a few integer operations
+    on one row of the table, held as bits: a zero bit is a step of the subsequence.
+    """
+    full = F.shiftleft(F.lit(1).cast("long"), size) - 1
+
+    def step(row: Column, letter: Column) -> Column:
+        hit = row.bitwiseAND(F.coalesce(F.try_element_at(masks, letter), F.lit(0).cast("long")))
+        return (row + hit).bitwiseOR(row - hit).bitwiseAND(full)
+
+    return size - F.bit_count(F.aggregate(F.split(text, ""), full, step))
+
+
+def indel_ratio(text: Column, masks: Column, size: Column) -> Column:
+    """Similarity 200 * LCS / (sum of lengths), between 0 and 100."""
+    return common_letters(text, masks, size) * F.lit(200.0) / (F.length(text) + size)

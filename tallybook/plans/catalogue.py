@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallybook.plans import sales
+from tallybook.plans import parsing, sales
 
-MODULES = [sales]
+MODULES = [sales, parsing]
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

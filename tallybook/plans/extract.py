@@ -13,7 +13,7 @@ from tallybook.operators.cleaning import Mapping
 
 EXTRACT_SQL = """
 SELECT
-  concat('n', cast(c_nationkey AS string)) AS dataset_id,
+  {dataset} AS dataset_id,
   l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount,
   l_returnflag,
   CASE WHEN l_orderkey % 97 = 5 AND l_linenumber = 2 THEN NULL
@@ -89,6 +89,15 @@ MAPPING = Mapping(
 )
 
 
+# What counts as one upload: a nation's sales, one customer's year, or the sales of one part.
+DATASETS = {
+    "nation": "concat('n', cast(c_nationkey AS string))",
+    "customer_year": "concat('c', cast(c_custkey AS string), '-', "
+                     "cast(extract(year FROM o_orderdate) AS string))",
+    "part": "concat('p', cast(p_partkey AS string))",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -99,13 +108,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
 
 
-def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+def extract(spark: SparkSession, sf_dir: str, dataset: str = "nation") -> DataFrame:
     """Raw sales lines: text columns, `dataset_id`, `_ord`."""
     dialect = {
         "iso_date": "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss')",
         "us_date": "date_format(o_orderdate, 'M/d/yyyy H:mm')",
         "eu_date": "date_format(o_orderdate, 'dd/MM/yyyy')",
         "unit": "unit_cents div 100", "cost": "cost_cents div 100",
+        "dataset": DATASETS[dataset],
     }
     tables = {t: table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "part")}
     tables["lineitem"] = spread(tables["lineitem"], "l_orderkey", "l_linenumber")
@@ -116,13 +126,13 @@ def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("dataset_id", F.struct(*ORDER_COLUMNS).alias("_ord"), *RAW_COLUMNS)
 
 
-def oracle_extract() -> str:
+def oracle_extract(dataset: str = "nation") -> str:
     sql = EXTRACT_SQL
     for k, v in {
         "iso_date": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')",
         "us_date": "strftime(o_orderdate, '%-m/%-d/%Y %-H:%M')",
         "eu_date": "strftime(o_orderdate, '%d/%m/%Y')",
-        "unit": "unit_cents // 100", "cost": "cost_cents // 100",
+        "unit": "unit_cents // 100", "cost": "cost_cents // 100", "dataset": DATASETS[dataset],
         "lineitem": "lineitem", "orders": "orders", "customer": "customer", "part": "part",
     }.items():
         sql = sql.replace("{" + k + "}", v)
