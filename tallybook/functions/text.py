@@ -44,6 +44,7 @@ def _composed_arabic() -> dict[str, str]:
 
 COMPOSED_LATIN = _composed_letters()
 COMPOSED_ARABIC = _composed_arabic()
+COMBINING = r"[\x{300}-\x{36f}\x{653}-\x{655}]"
 
 
 def strip(c: Column) -> Column:
@@ -52,10 +53,12 @@ def strip(c: Column) -> Column:
 
 def normalise_header(c: Column) -> Column:
     """Lower-case header with every run of other characters than a-z, 0-9, Arabic as one `_`."""
-    out = F.lower(c)
+    lower = F.lower(c)
+    composed = lower
     for parts, whole in COMPOSED_ARABIC.items():
-        out = F.replace(out, F.lit(parts), F.lit(whole))
-    out = F.regexp_replace(out, COMPOSED_LATIN, "_")
+        composed = F.replace(composed, F.lit(parts), F.lit(whole))
+    composed = F.regexp_replace(composed, COMPOSED_LATIN, "_")
+    out = F.when(lower.rlike(COMBINING), composed).otherwise(lower)
     out = F.regexp_replace(out, "[^a-z0-9؀-ۿ]+", "_")
     return F.regexp_replace(out, "^_+|_+$", "")
 
@@ -171,13 +174,29 @@ def letter_masks(word: str) -> dict[str, int]:
     return masks
 
 
+def letter_set(word: str) -> int:
+    """Bit `code % 63` is set for each letter of the word; letters may share a bit."""
+    bits = 0
+    for letter in word:
+        bits |= 1 << ord(letter) % 63
+    return bits
+
+
+def letter_set_of(text: Column) -> Column:
+    """`letter_set` of a text column."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(
+        F.array_distinct(F.split(text, "")), F.lit(0).cast("long"),
+        lambda bits, c: bits.bitwiseOR(F.call_function("shiftleft", one, F.ascii(c) % 63)))
+
+
 def common_letters(text: Column, masks: Column, size: Column) -> Column:
     """Length of the longest common subsequence of `text` and a word of at most 60 letters.
 
     The word is given as its letter masks, so each letter of the text costs a few integer operations
     on one row of the table, held as bits: a zero bit is a step of the subsequence.
     """
-    full = F.shiftleft(F.lit(1).cast("long"), size) - 1
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), size) - 1
 
     def step(row: Column, letter: Column) -> Column:
         hit = row.bitwiseAND(F.coalesce(F.try_element_at(masks, letter), F.lit(0).cast("long")))

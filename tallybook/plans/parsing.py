@@ -250,7 +250,8 @@ files AS MATERIALIZED (
   SELECT dataset_id, rn + 2, concat_ws('|', {", ".join(
         f"CASE WHEN trim({c}) = '' AND {c} = '' OR {c} IN ('nan', 'None', 'N/A', 'n/a') THEN NULL ELSE {c} END"
         for c in RAW_COLUMNS)})
-  FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY ord) AS rn FROM export))"""
+  FROM (SELECT *, count(*) OVER (PARTITION BY dataset_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS rn
+    FROM export))"""
 
 _WORDS = ", ".join(f"'{w}'" for w in pf.STATUS_VOCABULARY)
 
