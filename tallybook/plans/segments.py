@@ -347,14 +347,14 @@ SELECT business_id, product_id, {_robust("absolute_margin_log")}, {_robust("quan
 FROM logged WINDOW b AS (PARTITION BY business_id)""",
     "cluster_summary": _CLUSTERED + """,
 s AS (SELECT business_id, cluster, cluster_name, count(*) AS num_products,
-  round_even(avg(profit), 2) AS avg_profit, round_even(sum(profit), 2) AS total_profit,
-  round_even(avg(revenue), 2) AS avg_revenue, round_even(sum(revenue), 2) AS total_revenue,
-  round_even(avg(price), 2) AS avg_price, round_even(avg(cost), 2) AS avg_cost,
-  round_even(avg(profit_margin), 2) AS avg_margin, round_even(avg(stock), 2) AS avg_stock,
-  round_even(avg(quantity), 2) AS avg_quantity FROM c GROUP BY ALL)
-SELECT *, round_even(total_revenue / coalesce(nullif(sum(total_revenue) OVER b, 0), 1) * 100, 2)
+  round_even(round(avg(profit), 8), 2) AS avg_profit, round_even(round(sum(profit), 8), 2) AS total_profit,
+  round_even(round(avg(revenue), 8), 2) AS avg_revenue, round_even(round(sum(revenue), 8), 2) AS total_revenue,
+  round_even(round(avg(price), 8), 2) AS avg_price, round_even(round(avg(cost), 8), 2) AS avg_cost,
+  round_even(round(avg(profit_margin), 8), 2) AS avg_margin, round_even(round(avg(stock), 8), 2) AS avg_stock,
+  round_even(round(avg(quantity), 8), 2) AS avg_quantity FROM c GROUP BY ALL)
+SELECT *, round_even(round(total_revenue / coalesce(nullif(round(sum(total_revenue) OVER b, 2), 0), 1) * 100, 8), 2)
     AS revenue_share_pct,
-  round_even(total_profit / coalesce(nullif(sum(total_profit) OVER b, 0), 1) * 100, 2)
+  round_even(round(total_profit / coalesce(nullif(round(sum(total_profit) OVER b, 2), 0), 1) * 100, 8), 2)
     AS profit_share_pct
 FROM s WINDOW b AS (PARTITION BY business_id)""",
     "cluster_top_bottom": _CLUSTERED + """,

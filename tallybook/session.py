@@ -43,6 +43,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive lost executors and the plan starts afresh."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to a fresh table in the shared folder and read them from there.
+
+    They survive lost executors and the plan starts afresh. Unlike after `checkpoint()` the planner
+    knows the true size of the table, so joins and loops that build on it stay well planned.
+    """
+    path = fresh_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
