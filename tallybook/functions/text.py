@@ -133,26 +133,28 @@ def missing_cell(c: Column) -> Column:
 
 # Date notations tried per dataset column: cheap shape test, pattern. Month-first precedes day-first,
 # so it wins when both read every value equally well.
+# The shapes admit only real months, days and clock times, so that hardly any parse has to fail.
 CLOCK = "[ H:mm[:ss]]"
-_TIME = r"( \d{1,2}:\d{2}(:\d{2})?)?$"
+_Y, _M, _D = r"\d{4}", r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12]\d|3[01])"
+_HM = r"(?:[01]?\d|2[0-3]):[0-5]\d"
+_TIME = rf"(?: {_HM}(?::[0-5]\d)?)?$"
+_FINE = rf"{_HM}(?::[0-5]\d(?:\.\d{{1,6}})?)?"
 DATE_FORMATS: list[tuple[str, str]] = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}( \d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$",
-     "yyyy-M-d[ H:mm[:ss[.SSSSSS]]]"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?$",
-     "yyyy-M-d'T'H:mm[:ss[.SSSSSS]]"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}" + _TIME, "yyyy/M/d" + CLOCK),
-    (r"^\d{1,2}/\d{1,2}/\d{4}" + _TIME, "M/d/yyyy" + CLOCK),
-    (r"^\d{1,2}/\d{1,2}/\d{4}" + _TIME, "d/M/yyyy" + CLOCK),
-    (r"^\d{1,2}-\d{1,2}-\d{4}" + _TIME, "M-d-yyyy" + CLOCK),
-    (r"^\d{1,2}-\d{1,2}-\d{4}" + _TIME, "d-M-yyyy" + CLOCK),
-    (r"^\d{1,2}/\d{1,2}/\d{2}" + _TIME, "M/d/yy" + CLOCK),
-    (r"^\d{1,2}/\d{1,2}/\d{2}" + _TIME, "d/M/yy" + CLOCK),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}" + _TIME, "d.M.yyyy" + CLOCK),
-    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}" + _TIME, "d MMM yyyy" + CLOCK),
-    (r"^\d{1,2} [A-Z][a-z]{3,8} \d{4}" + _TIME, "d MMMM yyyy" + CLOCK),
-    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}" + _TIME, "MMM d, yyyy" + CLOCK),
-    (r"^[A-Z][a-z]{3,8} \d{1,2}, \d{4}" + _TIME, "MMMM d, yyyy" + CLOCK),
-    (r"^\d{8}$", "yyyyMMdd"),
+    (rf"^{_Y}-{_M}-{_D}(?: {_FINE})?$", "yyyy-M-d[ H:mm[:ss[.SSSSSS]]]"),
+    (rf"^{_Y}-{_M}-{_D}T{_FINE}$", "yyyy-M-d'T'H:mm[:ss[.SSSSSS]]"),
+    (rf"^{_Y}/{_M}/{_D}{_TIME}", "yyyy/M/d" + CLOCK),
+    (rf"^{_M}/{_D}/{_Y}{_TIME}", "M/d/yyyy" + CLOCK),
+    (rf"^{_D}/{_M}/{_Y}{_TIME}", "d/M/yyyy" + CLOCK),
+    (rf"^{_M}-{_D}-{_Y}{_TIME}", "M-d-yyyy" + CLOCK),
+    (rf"^{_D}-{_M}-{_Y}{_TIME}", "d-M-yyyy" + CLOCK),
+    (rf"^{_M}/{_D}/\d\d{_TIME}", "M/d/yy" + CLOCK),
+    (rf"^{_D}/{_M}/\d\d{_TIME}", "d/M/yy" + CLOCK),
+    (rf"^{_D}\.{_M}\.{_Y}{_TIME}", "d.M.yyyy" + CLOCK),
+    (rf"^{_D} [A-Z][a-z]{{2}} {_Y}{_TIME}", "d MMM yyyy" + CLOCK),
+    (rf"^{_D} [A-Z][a-z]{{3,8}} {_Y}{_TIME}", "d MMMM yyyy" + CLOCK),
+    (rf"^[A-Z][a-z]{{2}} {_D}, {_Y}{_TIME}", "MMM d, yyyy" + CLOCK),
+    (rf"^[A-Z][a-z]{{3,8}} {_D}, {_Y}{_TIME}", "MMMM d, yyyy" + CLOCK),
+    (rf"^{_Y}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])$", "yyyyMMdd"),
 ]
 
 
