@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,11 +42,14 @@ def local_session(cpus: int = 8, app: str = "tallybook", memory: str = "16g") ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir` of the session.
 
-    Only where the session names none (tests on one machine) a fresh local folder is taken.
+    Only a session on one machine (tests, the bench) may leave it unset: its executors see the driver's
+    disk, so a fresh local folder is as good. On a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="run-tallybook-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
