@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tallybook.session import cut
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâçèéêîôùáíñóú"
-EVIDENCE = 60      # letters that a longer text's evidence counts for, so that mixed texts stay mixed
+EVIDENCE = 6       # letters that a longer text's evidence counts for, so that mixed texts stay mixed
 MAX_DOMAINS = 200  # the classifier is a set of literals of this many rows
 STEPS = 24
 SCALED = 4
