@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallybook.llm import htmltext, langid, licenses, mixing, neardup, packing, quality, warc
+from tallybook.llm import ann, bm25, htmltext, langid, licenses, mixing, neardup, packing, quality, warc
 from tallybook.llm.common import held_out, table
 
 MIX_TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
@@ -45,6 +45,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.search(table(spark, sf_dir, "documents"))
+
+
+def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.model_of(langid.profiles(docs.where(~held_out("doc_id"))))
@@ -59,7 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_quality, op2_neardup, op3_packing, op4_licenses, op5_htmltext, op6_warc, op9_langid, op10_mixing)} | {
+        op1_quality, op2_neardup, op3_packing, op4_licenses, op5_htmltext, op6_warc, op7_bm25, op8_hilbert, op9_langid, op10_mixing)} | {
         "pipeline": corpus_pipeline.run}
 
 
