@@ -150,12 +150,12 @@ def date_notation(lines: DataFrame, column: str) -> DataFrame:
     """Per dataset the notation that reads most values of `column`; the earlier one on ties."""
     reads = [F.count(tx.read_date(F.col(column), i)).alias(f"n{i}")
              for i in range(len(tx.DATE_FORMATS))]
-    counts = lines.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n"), *reads)
+    counts = lines.groupBy("dataset_id").agg(*reads)
     ranked = F.array(*[
         F.struct(F.col(f"n{i}").alias("n"), F.lit(-i).alias("order"))
         for i in range(len(tx.DATE_FORMATS))
     ])
-    return counts.select("dataset_id", "_n", (-F.array_max(ranked)["order"]).alias("_notation"))
+    return counts.select("dataset_id", (-F.array_max(ranked)["order"]).alias("_notation"))
 
 
 def read_dates(lines: DataFrame, mapping: Mapping) -> DataFrame:
@@ -169,7 +169,7 @@ def read_dates(lines: DataFrame, mapping: Mapping) -> DataFrame:
             lines = lines.withColumn("_date", value)
         else:
             notation = date_notation(lines, c)
-            lines = lookup_join(lines, notation.drop("_n"), ["dataset_id"], notation)
+            lines = lookup_join(lines, notation, ["dataset_id"])
             value = F.lit(None).cast("timestamp_ntz")
             for i in reversed(range(len(tx.DATE_FORMATS))):
                 value = F.when(F.col("_notation") == i, tx.read_date(F.col(c), i)).otherwise(value)

@@ -1,15 +1,14 @@
-"""Joins against a table with one row per key, safe when a few keys hold most of the rows."""
+"""Joins against a table with one row per key."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A key is treated as hot from this many rows on. At most HOT_KEYS are, the largest first, so the
-# broadcast holds at most HOT_KEYS rows and every other key has at most 1/HOT_KEYS of the rows.
-HOT_ROWS = 1_000_000
-HOT_KEYS = 1_000
 SPREAD = 1_021
 
 
@@ -18,47 +17,21 @@ def _row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in plain])
 
 
-def key_counts(rows: DataFrame, *keys: str | Column) -> DataFrame:
-    """Rows per key as `_n`, for `lookup_join`; counted on the map side first."""
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-
-
-def lookup_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame,
-                how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """`left` with the columns of its one matching row in `right` (which is unique on `on`).
 
-    `counts` tells how often `left` has each key (see `key_counts`); it is best taken from the table
-    `left` was made from, so that a chain of lookups is not computed again for each count. Rows of
-    hot keys meet their match through a broadcast of at most HOT_KEYS rows. In the shuffle join
-    they, and rows with a null key, carry a spread number that matches nothing, so they are dealt
-    over all tasks instead of piling up in one. Results equal a plain join.
+    An ordinary equi-join, so that adaptive execution splits keys that hold very many rows. Rows with a
+    null key match nothing; they carry a spread number, so they are dealt over all tasks.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported join type: {how}")
     values = [c for c in right.columns if c not in on]
-    complete = F.lit(True)
-    for k in on:
-        complete = complete & F.col(k).isNotNull()
-
-    hot_keys = F.broadcast(
-        counts.filter(complete & (F.col("_n") >= hot_rows))
-        .orderBy(F.desc("_n")).limit(HOT_KEYS).select(*on))
-    packed = right.select(*on, F.struct(F.lit(True).alias("_lk"), *values).alias("_lk_row"))
-    hot = hot_keys.join(packed.join(hot_keys, on, "left_semi"), on, "left") \
-        .select(*on, F.lit(True).alias("_lk_hot"), F.col("_lk_row").alias("_lk_hot_row"))
-
-    marked = left.join(F.broadcast(hot), on, "left")
-    lonely = F.col("_lk_hot").isNotNull() | ~complete
-    marked = marked.withColumn(
-        "_lk_spread",
-        F.when(lonely, 1 + F.pmod(_row_hash(left), F.lit(SPREAD))).otherwise(F.lit(0)))
-    joined = marked.join(
-        packed.withColumn("_lk_spread", F.lit(0).cast("long")), [*on, "_lk_spread"], "left")
-    joined = joined.withColumn(
-        "_lk_found", F.when(F.col("_lk_hot"), F.col("_lk_hot_row")).otherwise(F.col("_lk_row")))
-    if how == "inner":
-        joined = joined.filter(F.col("_lk_found").isNotNull())
-    return joined.select(
-        *[F.col(f"`{c}`") for c in left.columns],
-        *[F.col("_lk_found").getField(c).alias(c) for c in values],
-    )
+    complete = reduce(and_, [F.col(k).isNotNull() for k in on])
+    packed = right.select(*on, *[F.col(f"`{c}`").alias(f"_lk_{i}") for i, c in enumerate(values)],
+                          F.lit(0).cast("long").alias("_lk_spread"))
+    lonely = 1 + F.pmod(_row_hash(left), F.lit(SPREAD))
+    marked = left.filter(complete) if how == "inner" else left
+    marked = marked.withColumn("_lk_spread", F.when(complete, F.lit(0)).otherwise(lonely))
+    joined = marked.join(packed, [*on, "_lk_spread"], how)
+    return joined.select(*[F.col(f"`{c}`") for c in left.columns],
+                         *[F.col(f"_lk_{i}").alias(c) for i, c in enumerate(values)])

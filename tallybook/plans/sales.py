@@ -438,7 +438,12 @@ SELECT business_id, 'order' AS kind, ext AS reference, 'unknown customer' AS rea
   count(*) AS rows FROM ro WHERE customer_id IS NULL GROUP BY ALL
 UNION ALL
 SELECT business_id, 'order_item', ext, 'unknown product', count(*) FROM ri
-WHERE product_id IS NULL GROUP BY ALL""",
+WHERE product_id IS NULL GROUP BY ALL
+UNION ALL
+SELECT i.dataset_id, 'order_item', i.order_id, CASE WHEN i.order_id IS NULL THEN 'no order number'
+  WHEN ro.id IS NULL THEN 'unknown order' ELSE 'order of an unknown customer' END, count(*)
+FROM i LEFT JOIN ro ON ro.business_id = i.dataset_id AND ro.ext = i.order_id
+WHERE ro.customer_id IS NULL GROUP BY ALL""",
     "load_stats": LOAD + """,
 parts AS (
   SELECT business_id, 'customer' AS entity, 1 AS e, 0 AS f, 0 AS n FROM stored_c

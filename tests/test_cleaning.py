@@ -11,7 +11,7 @@ from tallybook.functions import text as tx
 from tallybook.operators import cleaning as cl
 from tallybook.operators import entities as en
 from tallybook.operators import loading as ld
-from tallybook.operators.lookup import key_counts, lookup_join
+from tallybook.operators.lookup import lookup_join
 from tallybook.operators.training import training_table
 from tallybook.session import cut, fresh_path
 from tallybook.sources import stores
@@ -130,9 +130,8 @@ def test_lookup_join_equals_plain_join_with_hot_and_null_keys(spark, how):
     left = spark.createDataFrame(rows, "k string, i int")
     right = spark.createDataFrame([("hot", 1), ("k3", None), ("k4", 4), ("other", 5)], "k string, v int")
     want = sorted(left.join(right, "k", how).select("k", "i", "v").collect(), key=repr)
-    for hot_rows in (10, 1_000_000):
-        got = lookup_join(left, right, ["k"], key_counts(left, "k"), how, hot_rows)
-        assert sorted(got.select("k", "i", "v").collect(), key=repr) == want
+    got = lookup_join(left, right, ["k"], how)
+    assert sorted(got.select("k", "i", "v").collect(), key=repr) == want
 
 
 def empty(spark, name):
