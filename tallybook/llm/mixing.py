@@ -192,7 +192,7 @@ def mixed(docs: DataFrame, domain: str, targets: dict[str, float], columns: list
     """The documents themselves, each as often as its copies say; memberships are worked out again from
     the text, so texts aren't shuffled."""
     _, domains, steps = prepared(docs, domain, targets, keep_all=keep_all)
-    rows = with_memberships(measured(docs, columns), domains).select("*", once(rate(steps).alias("rate")))
+    rows = with_memberships(measured(docs, list(dict.fromkeys([*columns, "doc_id", "text"]))), domains).select("*", once(rate(steps).alias("rate")))
     rows = rows.withColumn("__hash", F.xxhash64("text"))
     rows = rows.withColumn("__copies", copies(["doc_id", "__hash"])).where("__copies > 0")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*columns)
