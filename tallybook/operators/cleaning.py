@@ -147,10 +147,12 @@ def normalise(lines: DataFrame) -> DataFrame:
 
 
 def date_notation(lines: DataFrame, column: str) -> DataFrame:
-    """Per dataset the notation that reads most values of `column`; the earlier one on ties."""
-    reads = [F.count(tx.read_date(F.col(column), i)).alias(f"n{i}")
+    """Per dataset the notation that reads most values of `column`; the earlier one on ties. Each
+    distinct text is tried once."""
+    texts = lines.groupBy("dataset_id", column).agg(F.count(F.lit(1)).alias("_n"))
+    reads = [F.sum(F.when(tx.read_date(F.col(column), i).isNotNull(), F.col("_n")).otherwise(0)).alias(f"n{i}")
              for i in range(len(tx.DATE_FORMATS))]
-    counts = lines.groupBy("dataset_id").agg(*reads)
+    counts = texts.groupBy("dataset_id").agg(*reads)
     ranked = F.array(*[
         F.struct(F.col(f"n{i}").alias("n"), F.lit(-i).alias("order"))
         for i in range(len(tx.DATE_FORMATS))

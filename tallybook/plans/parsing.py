@@ -14,8 +14,7 @@ from tallybook.registry import DENYLIST, METADATA_LABELS, REQUIRED_FIELDS
 from tallybook.session import cut, fresh_path
 from tallybook.sources import uploads as up
 
-PROFILED = ["InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice",
-            "CustomerName", "Email", "Status", "Size"]
+PROFILED = RAW_COLUMNS
 STAMP = 1_700_000_000_000
 
 
@@ -38,7 +37,7 @@ def write_uploads(spark: SparkSession, sf_dir: str) -> str:
     lines = body.unionByName(titles).withColumn(
         "upload", F.concat(F.lit(f"{STAMP}-"), "dataset_id", F.lit("-sales.csv")))
     order = ["dataset_id", "upload", "part", "_ord"]
-    lines.repartitionByRange(8, *order).sortWithinPartitions(*order) \
+    lines.repartitionByRange(*order).sortWithinPartitions(*order) \
         .select(F.col("dataset_id").alias("business"), "upload", "value") \
         .write.partitionBy("business", "upload").text(root)
     return root
@@ -74,14 +73,13 @@ def parse_uploads(spark, sf_dir):
     cells = cut(_cells(spark, sf_dir))
     headers = cut(up.detect_header(up.head(cells)))
     rows = up.data_rows(cells, headers)
-    sampled = cut(up.long_cells(pf.sample_rows(rows)))
+    values = cut(up.long_cells(rows))
     columns = headers.select("dataset_id", F.posexplode("names").alias("pos", "column"))
-    mapping = cut(mt.map_columns(columns, pf.signal_table(pf.profile(sampled)),
-                                 pf.cooccurrence(sampled)))
+    mapping = cut(mt.map_columns(columns, pf.signal_table(pf.profile(values)),
+                                 pf.cooccurrence(values)))
     covered = mt.coverage(mapping)
-    warnings = mt.parse_warnings(mapping, covered, headers, pf.sample_sizes(rows))
-    values = pf.sample_values(up.long_cells(up.first_rows(rows)))
-    return mapping.join(values, pf.COLUMN, "left").join(covered, "dataset_id") \
+    warnings = mt.parse_warnings(mapping, covered, headers)
+    return mapping.join(pf.sample_values(values), pf.COLUMN, "left").join(covered, "dataset_id") \
         .join(warnings, "dataset_id") \
         .select("dataset_id", "column", "mapped_to", "confidence", "match_method", "human_label",
                 "group", F.array_join("sample_values", "|").alias("sample_values"),
@@ -126,36 +124,35 @@ def fuzzy_match(spark, sf_dir):
     return mt.fuzzy_matches(probes)
 
 
-# Profiles: each customer-year is one small file, so its sample is the whole of it.
+# Profiles: a nation's sales are one file.
 
-def _small_cells(spark, sf_dir) -> DataFrame:
-    rows = pf.sample_rows(extract(spark, sf_dir, "customer_year"))
-    return pf.to_long(rows, PROFILED)
+def _file_cells(spark, sf_dir, dataset: str = "nation") -> DataFrame:
+    return pf.to_long(extract(spark, sf_dir, dataset), PROFILED)
 
 
 def column_profile(spark, sf_dir):
-    got = pf.profile(_small_cells(spark, sf_dir))
+    got = pf.profile(_file_cells(spark, sf_dir))
     return got.select(
-        "dataset_id", "column", "n", "n_num", "mn", "mx", "med", "all_int",
+        "dataset_id", "column", "n", "n_num", "mn", "mx", F.round("med", 6).alias("med"), "all_int",
         F.round("u", 6).alias("u"), F.round("uq", 6).alias("uq"),
         F.round("avg_len", 6).alias("avg_len"),
         *[F.round(c, 6).alias(c) for c in ("email", "phone", "date", "id", "sku")])
 
 
 def pattern_profile(spark, sf_dir):
-    got = pf.profile(_small_cells(spark, sf_dir))
+    got = pf.profile(_file_cells(spark, sf_dir))
     return got.select("dataset_id", "column", *[F.round(c, 6).alias(c) for c in (
         "status", "currency", "invoice", "person", "title", "address")])
 
 
 def signal_scores(spark, sf_dir):
-    got = pf.signal_table(pf.profile(_small_cells(spark, sf_dir)))
+    got = pf.signal_table(pf.profile(_file_cells(spark, sf_dir)))
     return got.select("dataset_id", "column", "target", "signal", F.round("score", 4).alias("score"))
 
 
 def column_mapping(spark, sf_dir):
     """The mapping of every customer-year file with its true headers."""
-    cells = cut(_small_cells(spark, sf_dir))
+    cells = cut(_file_cells(spark, sf_dir, "customer_year"))
     columns = cells.select(*pf.COLUMN).distinct()
     return mt.map_columns(columns, pf.signal_table(pf.profile(cells)), pf.cooccurrence(cells)) \
         .select("dataset_id", "column", "mapped_to", "confidence", "match_method", "human_label",
@@ -171,8 +168,7 @@ def cooccurrence(spark, sf_dir):
         F.col("l_quantity").alias("a"),
         F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("b"),
         F.col("l_extendedprice").alias("c"), F.col("l_discount").alias("d"))
-    rows = up.first_rows(lines, up.PARSE_ROWS).drop("_row")
-    got = pf.cooccurrence(pf.to_long(rows, ["a", "b", "c", "d"]))
+    got = pf.cooccurrence(pf.to_long(lines, ["a", "b", "c", "d"]))
     return got.select("dataset_id", F.col("pos").cast("long").alias("pos"), "target", "bonus")
 
 
@@ -181,8 +177,7 @@ def sample_sizes(spark, sf_dir):
 
 
 def sample_values(spark, sf_dir):
-    rows = up.first_rows(extract(spark, sf_dir, "part")).drop("_row")
-    got = pf.sample_values(pf.to_long(rows, ["Description", "Status", "Channel"]))
+    got = pf.sample_values(pf.to_long(extract(spark, sf_dir), ["Description", "Status", "Channel"]))
     return got.select("dataset_id", "column", F.array_join("sample_values", "|").alias("values"))
 
 
@@ -255,7 +250,7 @@ files AS MATERIALIZED (
 
 _WORDS = ", ".join(f"'{w}'" for w in pf.STATUS_VOCABULARY)
 
-_SMALL = f"""WITH export AS MATERIALIZED ({oracle_extract("customer_year")}),
+_SMALL = f"""WITH export AS MATERIALIZED ({oracle_extract()}),
 cells AS (UNPIVOT (SELECT dataset_id, {", ".join(PROFILED)} FROM export)
   ON {", ".join(PROFILED)} INTO NAME "column" VALUE raw),
 known AS MATERIALIZED (
@@ -416,7 +411,7 @@ FROM ranked QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC,
 SELECT d AS dataset_id, md5({_NORM}) AS norm, {_NORM} IN ({_DENIED}) AS denied,
   count(*) AS rows, max(length({_NORM})) AS length FROM texts GROUP BY 1, 2, 3""",
     "column_profile": _SMALL + """
-SELECT dataset_id, "column", n, n_num, mn, mx, med, all_int, round(u, 6) AS u, round(uq, 6) AS uq,
+SELECT dataset_id, "column", n, n_num, mn, mx, round(med, 6) AS med, all_int, round(u, 6) AS u, round(uq, 6) AS uq,
   round(avg_len, 6) AS avg_len, round(email, 6) AS email, round(phone, 6) AS phone,
   round(date, 6) AS date, round(id, 6) AS id, round(sku, 6) AS sku FROM prof""",
     "pattern_profile": _SMALL + """
@@ -429,7 +424,7 @@ SELECT dataset_id, "column", round(status, 6) AS status, round(currency, 6) AS c
     SELECT l_partkey AS ds, l_quantity AS a, round(l_extendedprice / l_quantity, 2) AS b,
       l_extendedprice AS c, l_discount AS d,
       row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey,
-        l_quantity, l_extendedprice, l_discount) AS rn FROM lineitem) WHERE rn <= 1000),
+        l_quantity, l_extendedprice, l_discount) AS rn FROM lineitem)),
 cells AS MATERIALIZED (
   SELECT ds, rn, unnest([0, 1, 2, 3]) AS pos, unnest([a, b, c, d]) AS x FROM lines),
 usable AS (SELECT ds, pos, quantile_cont(x, 0.5) AS med FROM cells GROUP BY ALL
@@ -456,10 +451,8 @@ SELECT cast(ds AS VARCHAR) AS dataset_id, cast(pos AS BIGINT) AS pos, target,
   UNION ALL SELECT dataset_id, count(*) FROM ({oracle_extract()}) GROUP BY 1)
 SELECT dataset_id, rows, CASE WHEN rows <= 50 THEN rows
   ELSE least(1000, greatest(50, cast(floor(rows * 0.1) AS BIGINT)), rows) END AS sample FROM n""",
-    "sample_values": f"""WITH export AS MATERIALIZED ({oracle_extract("part")}),
-capped AS (SELECT * FROM export
-  QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY ord) <= 1000),
-cells AS (UNPIVOT (SELECT dataset_id, ord, Description, Status, Channel FROM capped)
+    "sample_values": f"""WITH export AS MATERIALIZED ({oracle_extract()}),
+cells AS (UNPIVOT (SELECT dataset_id, ord, Description, Status, Channel FROM export)
   ON Description, Status, Channel INTO NAME "column" VALUE raw),
 firsts AS (SELECT dataset_id, "column", trim(raw) AS v, min(ord) AS ord FROM cells
   WHERE trim(raw) <> '' GROUP BY ALL),
