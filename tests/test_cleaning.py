@@ -13,7 +13,7 @@ from tallybook.operators import entities as en
 from tallybook.operators import loading as ld
 from tallybook.operators.lookup import lookup_join
 from tallybook.operators.training import training_table
-from tallybook.session import cut, fresh_path
+from tallybook.session import cut, fresh_path, shared_dir
 from tallybook.sources import stores
 
 
@@ -183,11 +183,81 @@ def test_load_twice_equals_load_once(spark):
     assert seen[0] == seen[1] == {"customer": 2, "product": 2, "order": 2, "order_item": 3}
     items = stores.read_store(spark, root)["order_item"].collect()
     assert sorted(r.quantity for r in items) == [1, 1, 2]
-    assert [tuple(r) for r in load["quarantine"].collect()] == [("b", "order", "o2", "unknown customer")]
+    assert sorted(tuple(r) for r in load["quarantine"].collect()) == [
+        ("b", "order", "o2", "unknown customer"), ("b", "order_item", "o2", "order of an unknown customer")]
     stats = {r.entity: (r.existing, r.inserted, r.skipped) for r in load["stats"].collect()}
     assert stats["customer"] == (2, 0, 2) and stats["order_item"] == (3, 0, 4)
 
 
+def items_of(spark, rows):
+    return spark.createDataFrame(
+        [("b", i, o, p, None, q, 1.0, None, None) for i, (o, p, q) in enumerate(rows)],
+        "business_id string, _ord long, orderExternalId string, productAccId string, productName string, "
+        "quantity long, unitPrice double, itemDiscount double, attributes map<string,string>")
+
+
+def orders_of(spark, names, customer="1"):
+    return spark.createDataFrame(
+        [("b", n, customer, 1.0, 1.0, None, None, None, None) for n in names],
+        "business_id string, externalOrderId string, customerExternalId string, total double, "
+        "revenue double, status string, orderVoucher string, address string, createdAt timestamp_ntz")
+
+
+def test_every_item_that_is_left_out_is_reported(spark):
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    keys = spark.createDataFrame([("b", "1", "c1")], "business_id string, _key string, _id string")
+    orders = ld.resolve_orders(orders_of(spark, ["o1"]).unionByName(orders_of(spark, ["o2"], "9")), keys, now)
+    none = spark.createDataFrame([], ld.STORED["product"])
+    products = spark.createDataFrame([("b", "P1", "p1", None, 0)],
+                                     "business_id string, id string, external_acc_id string, name string, _ord long")
+    items = ld.resolve_items(items_of(spark, [("o1", "p1", 1), ("o1", "p1", 1), ("o1", "zz", 1), (None, "p1", 1),
+                                              ("none", "p1", 1), ("o2", "p1", 1), ("o7", "p1", 1)]),
+                             orders, none, products)
+    kept = items.filter("_reason is null")
+    assert kept.count() == 2 and kept.select("id").distinct().count() == 2
+    reasons = sorted((r.kind, str(r.reference), r.reason) for r in ld.quarantined(orders, items).collect())
+    assert reasons == [("order", "o2", "unknown customer"), ("order_item", "None", "no order number"),
+                       ("order_item", "none", "no order number"), ("order_item", "o1", "unknown product"),
+                       ("order_item", "o2", "order of an unknown customer"), ("order_item", "o7", "unknown order")]
+
+
+def test_ids_of_items_do_not_depend_on_the_place_of_a_line(spark):
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    keys = spark.createDataFrame([("b", "1", "c1")], "business_id string, _key string, _id string")
+    orders = ld.resolve_orders(orders_of(spark, ["o1"]), keys, now)
+    none = spark.createDataFrame([], ld.STORED["product"])
+    products = spark.createDataFrame([("b", "P1", "p1", None, 0)],
+                                     "business_id string, id string, external_acc_id string, name string, _ord long")
+    rows = [("o1", "p1", 1), ("o1", "p1", 2), ("o1", "p1", 1)]
+    first, again = ([sorted(r.id for r in ld.resolve_items(items_of(spark, x), orders, none, products).collect())
+                     for x in (rows, [("o1", "zz", 5), *reversed(rows)])])
+    assert set(first) < set(again) and len(set(first)) == 3
+
+
+def test_orders_marked_as_unnumbered_keep_their_own_ids(spark):
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    keys = spark.createDataFrame([("b", "1", "c1")], "business_id string, _key string, _id string")
+    got = ld.resolve_orders(orders_of(spark, ["none", "NONE", "o1"]), keys, now)
+    assert got.select("id").distinct().count() == 3
+
+
+def test_a_cluster_without_shared_folder_is_refused():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 def test_training_table(spark):
     products = spark.createDataFrame(
         [("d", "p1", "Mug", None, 5, 0), ("d", "p2", "Cup", 1.0, 6, 1), ("d", "p3", "Cup", 2.0, 7, 2)],
