@@ -29,11 +29,12 @@ def _products(spark, sf_dir, business: str = "p_brand") -> DataFrame:
 
 
 def _items(spark, sf_dir) -> DataFrame:
-    """Line items of all but every tenth part, so that some products have no sales."""
+    """All line items; those of every tenth part go to the part before, so that some products have no
+    sales."""
     line = table(spark, sf_dir, "lineitem")
-    return line.filter(F.col("l_partkey") % 10 != 9).select(
-        F.col("l_orderkey").cast("string").alias("order_id"),
-        F.col("l_partkey").cast("string").alias("product_id"),
+    part = F.col("l_partkey") - (F.col("l_partkey") % 10 == 9).cast("int")
+    return line.select(
+        F.col("l_orderkey").cast("string").alias("order_id"), part.cast("string").alias("product_id"),
         F.col("l_quantity").cast("long").alias("quantity"),
         (F.floor(F.round(F.col("l_extendedprice") * 100) / 32) / 100).alias("unit_price"))
 
@@ -155,11 +156,14 @@ def _activity(spark, sf_dir) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     now = F.lit(NOW).cast("timestamp_ntz")
     # Nation n last ran n/2 days before now; nations 0 to 3 never did; large ones first.
-    runs = table(spark, sf_dir, "nation").filter("n_nationkey > 3").select(
+    runs = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("string").alias("business_id"),
-        (now - F.expr("make_interval(0, 0, 0, 0, 12 * n_nationkey, 0, 0)")).alias("finished_at"))
-    products = customers.filter("c_nationkey % 8 != 1 or c_custkey % 100 = 0").select(
-        business, F.to_timestamp_ntz(F.when(F.col("c_custkey") % (F.col("c_nationkey") * 20 + 1) == 0,
+        F.when(F.col("n_nationkey") > 3, now - F.expr("make_interval(0, 0, 0, 0, 12 * n_nationkey, 0, 0)"))
+        .alias("finished_at"))
+    # Most products of every eighth nation belong to the one before, so a few nations have hardly any.
+    seller = F.col("c_nationkey") - ((F.col("c_nationkey") % 8 == 1) & (F.col("c_custkey") % 100 != 0)).cast("int")
+    products = customers.select(
+        seller.cast("string").alias("business_id"), F.to_timestamp_ntz(F.when(F.col("c_custkey") % (F.col("c_nationkey") * 20 + 1) == 0,
                                             F.lit(NOW)).otherwise(F.lit("1995-01-01 00:00:00")))
         .alias("updated_at"))
     sales = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
@@ -186,7 +190,7 @@ def refresh_forced(spark, sf_dir):
 def _events(spark, sf_dir) -> DataFrame:
     step = F.col("event_id") % 8
     states = F.array(*[F.lit(s) for s in ("queued", "running", None, None)]
-                     + [F.when(F.col("event_id") % 3 == 0, F.lit(s)) for s in
+                     + [F.when(F.col("event_id") % 5 == 0, F.lit(s)) for s in
                         ("done", "failed", "skipped")] + [F.lit(None)])
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("run"), F.floor(F.col("event_id") / 8).cast("string")).alias("id"),
@@ -235,10 +239,10 @@ def _facts_sql(business: str = "p_brand", keep: str = "true") -> str:
       ELSE p_retailprice * 4 / 8 END AS raw_cost,
     CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE p_size END AS raw_stock FROM part),
 sold AS (
-  SELECT l_partkey AS k, sum(cast(l_quantity AS BIGINT)) AS q,
+  SELECT l_partkey - (l_partkey % 10 = 9)::INT AS k, sum(cast(l_quantity AS BIGINT)) AS q,
     sum(cast(l_quantity AS BIGINT) * cast(floor(round(l_extendedprice * 100) / 32) / 100 AS DECIMAL(18, 4))) AS m
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey
-  WHERE l_partkey % 10 <> 9 AND {keep} GROUP BY 1),
+  WHERE {keep} GROUP BY 1),
 base AS (
   SELECT business_id, id AS product_id, k, p_size, price,
     coalesce(nullif(cast(raw_cost AS DECIMAL(18, 4)), 0), cast(price AS DECIMAL(18, 4)) * 0.5) AS dcost,
@@ -281,13 +285,14 @@ def _robust(c: str, clip: bool = False) -> str:
 
 
 _ACTIVITY = f"""WITH runs AS (
-  SELECT n_nationkey AS b, TIMESTAMP '{NOW}' - to_hours(12 * n_nationkey) AS last_run
-  FROM nation WHERE n_nationkey > 3),
+  SELECT n_nationkey AS b,
+    CASE WHEN n_nationkey > 3 THEN TIMESTAMP '{NOW}' - to_hours(12 * n_nationkey) END AS last_run
+  FROM nation),
 prods AS (
-  SELECT c_nationkey AS b, count(*) AS products,
+  SELECT s AS b, count(*) AS products,
     count(*) FILTER (c_custkey % (c_nationkey * 20 + 1) = 0 AND TIMESTAMP '{NOW}' > last_run) AS changes
-  FROM customer LEFT JOIN runs ON b = c_nationkey
-  WHERE c_nationkey % 8 <> 1 OR c_custkey % 100 = 0 GROUP BY 1),
+  FROM (SELECT *, c_nationkey - (c_nationkey % 8 = 1 AND c_custkey % 100 <> 0)::INT AS s FROM customer)
+  LEFT JOIN runs ON b = s GROUP BY 1),
 sales AS (
   SELECT c_nationkey AS b, count(*) FILTER (CASE WHEN c_nationkey % 5 = 2
     THEN o_orderdate + INTERVAL 4 YEAR ELSE o_orderdate END > last_run) AS items
@@ -308,9 +313,9 @@ _EVENTS = """WITH ev AS (
     CASE WHEN event_id % 8 = 0 THEN 'product_segmentation' END AS type,
     CASE WHEN event_id % 8 = 0 THEN 'upload' END AS triggered_by,
     CASE event_id % 8 WHEN 0 THEN 'queued' WHEN 1 THEN 'running'
-      WHEN 4 THEN CASE WHEN event_id % 3 = 0 THEN 'done' END
-      WHEN 5 THEN CASE WHEN event_id % 3 = 0 THEN 'failed' END
-      WHEN 6 THEN CASE WHEN event_id % 3 = 0 THEN 'skipped' END END AS status,
+      WHEN 4 THEN CASE WHEN event_id % 5 = 0 THEN 'done' END
+      WHEN 5 THEN CASE WHEN event_id % 5 = 0 THEN 'failed' END
+      WHEN 6 THEN CASE WHEN event_id % 5 = 0 THEN 'skipped' END END AS status,
     CASE WHEN event_type <> 'error' THEN cast(user_id % 100 AS INT) END AS progress,
     CASE WHEN event_type = 'click' THEN props END AS detail,
     CASE WHEN event_type = 'error' THEN props END AS error FROM events),
