@@ -71,5 +71,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": corpus_pipeline.run}
 
 
+ORACLES = {
+    "op6_warc": f"""WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(payload) AS payload_digest,
+  CASE WHEN n >= {warc.LEAST_REVISIT} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= {warc.LEAST_REVISIT} AND page_id <> first THEN first END AS refers_to FROM f""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

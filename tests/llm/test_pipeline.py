@@ -58,6 +58,13 @@ def test_registered_queries():
     assert set(oracle_sql()) <= set(names)
 
 
+@pytest.mark.parametrize("name", list(oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    from oracle import connect, difference
+
+    assert difference(queries()[name](spark, SF), connect(SF), oracle_sql()[name]) is None
+
+
 def test_held_out_language_accuracy(spark):
     from tallybook.llm.common import held_out, table
 
