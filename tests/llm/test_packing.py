@@ -3,9 +3,13 @@ import zlib
 
 import numpy as np
 from corpus import AWKWARD, awkward, none
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tallybook.llm import packing
 
+ENCODERS: dict = {}
+
 
 def filled(runs):
     out = {}
@@ -46,7 +50,7 @@ def test_pieces_hold_the_tokenizers_ids(spark):
     from tokenizers import Tokenizer
 
     rows = packing.pieces(awkward(spark)).collect()
-    tokenizer = Tokenizer.from_file(packing.vocabulary())
+    tokenizer = Tokenizer.from_file(packing.vocabulary() + ".json")
     for key, text, *_ in AWKWARD:
         want = tokenizer.encode(text or "", add_special_tokens=False).ids + [packing.END]
         own = sorted((r for r in rows if r.doc_id == key), key=lambda r: r.piece)
@@ -57,6 +61,16 @@ def test_pieces_hold_the_tokenizers_ids(spark):
         assert [r.start for r in own] == np.cumsum([0] + [r.length for r in own[:-1]]).tolist()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=8), st.sampled_from(
+    [" ", "  ", "\n", "\t\n ", "don't", "WE'LL", "\xa0", "é1²", "$$$", "<|endoftext|>", "<|end", "ǅ", "a\r\n\r\n b"])),
+    max_size=8).map("".join))
+def test_encoder_equals_the_tokenizers_file(text):
+    encode = ENCODERS.setdefault("own", packing.Encoder(packing.vocabulary())) if not ENCODERS else ENCODERS["own"]
+    text = text.encode("utf-8", "ignore").decode()
+    assert encode(text) == encode.whole.encode(text, add_special_tokens=False).ids
+
+
 def test_packed_rows(spark):
     cut_up = packing.digests(packing.pieces(awkward(spark)))
     got = packing.pack(cut_up).collect()
