@@ -284,10 +284,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .mapInArrow(_confirm, "u binary, v binary"))
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """(node, set) of the texts in `wanted` (node), one row each."""
-    rows = docs.select(text_node(text).alias("node"), F.col(text).alias("text"))
-    chosen = rows.join(wanted.hint("merge"), "node", "left_semi").mapInArrow(_sets, "node binary, set binary")
+def row_key() -> Column:
+    return F.concat_ws(":", F.hex("node"), F.col("doc_id").cast("string"))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(node, set) of the texts in `wanted` (node, doc_id of one of its rows), one row each.
+
+    Rows meet by node and id, so the copies of a text are dealt over all tasks and only one of them is hashed.
+    The hint keeps the plan of small tables that of large ones.
+    """
+    rows = docs.select(text_node(text).alias("node"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.select("node", "text", row_key().alias("key"))
+    keys = wanted.select(row_key().alias("key"))
+    chosen = (rows.join(keys.hint("merge"), "key", "left_semi").select("node", "text")
+              .mapInArrow(_sets, "node binary, set binary"))
     return chosen.groupBy("node").agg(F.first("set").alias("set"))
 
 
@@ -300,19 +311,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     nodes = cut(filled.select("node", "n_shingles", "bands", "sketch").dropDuplicates(["node"]))
     full = cut(buckets(nodes))
     members = cut(blocks(nodes, full))
-    near = members.select("node").distinct()
+    copies = cut(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    near = members.select("node").distinct().join(copies, "node")
     # every text that shares a bucket may have to be confirmed; its set is made once
     first = cut(candidates(members, nodes, forest=True))
-    sets = cut(shingle_sets(docs, near, text))
+    sets = cut(shingle_sets(docs, near, doc_id, text))
     links = cut(confirmed(first, sets))
     roots = cut(components(links))
     rest = candidates(members, nodes, forest=False, roots=roots)
     links = links.unionByName(confirmed(rest, sets))
     roots = components(links)
-    copies = filled.groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = copies.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = copies.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     named = cut(named)
-    whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    whole = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     known = named.join(whole, "root").select("node", "component_id")
     out = signed.select("node", "doc_id", "n_shingles").join(
         known.withColumnRenamed("node", "known"),
@@ -325,9 +336,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def one_of_each(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The given columns of one document of each class. Repeated rows of it stay once; rows without id
     stay only where their class has no id."""
-    key = F.concat_ws(":", F.hex("node"), F.col("doc_id").cast("string"))
-    chosen = classes(docs).where("kept").select(key.alias("__key"))
+    chosen = classes(docs).where("kept").select(row_key().alias("__key"))
     rows = (docs.select(*columns, text_node().alias("node"))
-            .withColumn("__key", key).drop("node"))
+            .withColumn("__key", row_key()).drop("node"))
     # one shuffle of the texts serves both the join and the removal of repeated rows
     return rows.join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).select(*columns)
