@@ -17,6 +17,7 @@ from tallybook.registry import ATTRIBUTE_PREFIX, UNMAPPED
 
 KEYS = ("dataset_id", "_ord")
 
+# Names of the targets, by kind.
 NUMBER_TARGETS = ("order_item.quantity", "quantity", "product.price", "price", "product.cost", "cost",
                   "product.stock", "stock", "revenue", "profit", "profit_margin",
                   "order_item.itemDiscount", "order_item.unitPrice")

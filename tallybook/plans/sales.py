@@ -10,8 +10,9 @@ from tallybook.operators import entities as en
 from tallybook.operators import loading as ld
 from tallybook.operators.training import training_table
 from tallybook.plans.extract import MAPPING, extract, oracle_extract
-from tallybook.sources import stores
+from tallybook.registry import TRAINING_COLUMNS
 from tallybook.session import cut, fresh_path
+from tallybook.sources import stores
 
 NOTES = ["Size", "Colour", "Region", "Channel"]
 RUN_TS = "2002-01-01 00:00:00"
@@ -216,15 +217,31 @@ def load_roundtrip(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-def training(spark, sf_dir):
+def _training(spark, sf_dir) -> DataFrame:
     lines = cut(_lines(spark, sf_dir, dates=True))
-    flat = training_table(en.products(lines), en.orders(lines, MAPPING.cost_pct),
-                          en.order_items(lines))
+    return training_table(en.products(lines), en.orders(lines, MAPPING.cost_pct), en.order_items(lines))
+
+
+def _plain(flat: DataFrame) -> DataFrame:
     return flat.select("dataset_id", "order_id", "price", "cost", "quantity", "stock",
                        "profit_margin", money("revenue"), "customer_id",
                        cl.tx.iso_seconds(F.col("order_date")).alias("order_date"))
 
 
+def training(spark, sf_dir):
+    return _plain(_training(spark, sf_dir))
+
+
+def export_roundtrip(spark, sf_dir):
+    """The training table exported as CSV, one folder per business, and read back."""
+    root = fresh_path(spark, "export")
+    flat = _business(_training(spark, sf_dir))
+    stores.export_training(flat, root)
+    schema = flat.select(*TRAINING_COLUMNS, "business_id").schema
+    back = spark.read.schema(schema).option("header", True).csv(f"{root}/ml_dataset")
+    return _plain(back.withColumnRenamed("business_id", "dataset_id"))
+
+
 QUERIES = {
     "orders_revenue": orders_revenue, "clean_counters": clean_counters,
     "numeric_clean": numeric_clean, "id_clean": id_clean, "string_clean": string_clean,
@@ -236,7 +253,7 @@ QUERIES = {
     "new_customers": new_customers, "new_products": new_products,
     "resolve_orders": resolve_orders, "resolve_items": resolve_items,
     "load_quarantine": load_quarantine, "load_stats": load_stats,
-    "load_roundtrip": load_roundtrip, "training_table": training,
+    "load_roundtrip": load_roundtrip, "training_table": training, "export_roundtrip": export_roundtrip,
 }
 
 
@@ -479,3 +496,4 @@ FROM i LEFT JOIN o ON o.dataset_id = i.dataset_id AND o.order_id = i.order_id
 LEFT JOIN p ON p.dataset_id = i.dataset_id AND p.acc = i.product_id
 LEFT JOIN by_name ON by_name.dataset_id = i.dataset_id AND by_name.name = i.product_name""",
 }
+ORACLES["export_roundtrip"] = ORACLES["training_table"]
