@@ -1,6 +1,6 @@
 """Mix documents to target weights over domains with soft memberships, in DataFrame operations only.
 
-1. A naive Bayes classifier over letter counts learns from the labelled rows and gives every document a
+1. A naive Bayes classifier over words, hashed to BUCKETS numbers, learns from the labelled rows and gives every document a
    probability for each domain (its membership), so a text of two domains counts for both.
 2. Nonnegative rates are fitted by projected gradient descent on the squared difference between each
    domain's expected tokens, sum(rate * tokens * membership), and its target, starting at rate 1 for all.
@@ -9,7 +9,7 @@
 3. A rate becomes whole copies: its integer part, and one more if a hash of the document falls below its
    fraction. So the same rows are chosen at every run and on every retry.
 
-A null or empty text has no tokens and no letters: its membership is the domains' prior, and as it changes
+A null or empty text has no tokens: its membership is the domains' prior, and as it changes
 no total it keeps rate 1. Rows without a label teach nothing; domains without a target share have target 0;
 targets are scaled to 1. Repeated rows are treated alike. Without any labelled row there are no domains and
 every rate is 1. A null id hashes like the text. Texts of any length are read whole. An empty table gives
@@ -27,33 +27,21 @@ from pyspark.sql import functions as F
 
 from tallybook.session import cut
 
-LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâçèéêîôùáíñóú"
-EVIDENCE = 6       # letters that a longer text's evidence counts for, so that mixed texts stay mixed
+BUCKETS = 2048     # numbers that words are hashed to
+EVIDENCE = 4       # words that a longer text's evidence counts for, so that mixed texts stay mixed
 MAX_DOMAINS = 200  # the classifier is a set of literals of this many rows
 STEPS = 24
 SCALED = 4
 PRECISION = 1e-4
 
 
-def tokens(text: Column) -> Column:
-    """Number of white-space separated words."""
-    trimmed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    blanks = F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit("")))
-    return F.when(trimmed == "", F.lit(0)).otherwise(blanks + 1).cast("long")
-
-
-def letter_counts(text: Column) -> Column:
-    """How often each of LETTERS occurs, as an array, from the bytes that vanish with it."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    size = F.octet_length(low)
-    return F.array(*[((size - F.octet_length(F.replace(low, F.lit(c), F.lit("")))) / len(c.encode())).cast("int")
-                     for c in LETTERS])
-
-
 def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns in `keep`, then __tokens, __letters."""
-    return docs.select(*keep, once(tokens(F.col(text)).alias("__tokens"),
-                                   letter_counts(F.col(text)).alias("__letters")))
+    """The columns in `keep`, then __tokens (number of white-space separated words) and __words (the
+    numbers of all of them)."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), "")
+    number = lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")
+    return (docs.select(*keep, once(words.alias("__w")))
+            .select(*keep, F.size("__w").cast("long").alias("__tokens"), F.transform("__w", number).alias("__words")))
 
 
 def once(*columns: Column) -> Column:
@@ -66,31 +54,44 @@ def total(columns) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+def _sum_of(known: Column) -> Column:
+    return F.aggregate("__words", F.lit(0.0), lambda s, w: s + F.get(known, w))
+
+
 class Domains:
-    """Names, priors and letter weights of the classifier."""
+    """Names, logarithms of the priors, and weights of the words of the classifier."""
 
     def __init__(self, names: list[str], prior: np.ndarray, weight: np.ndarray):
         self.names, self.prior, self.weight = names, prior, weight
 
     def evidence(self) -> list[Column]:
-        """The logarithm of each domain's probability, but for a constant, from __letters and __n."""
-        weigh = F.lit(float(EVIDENCE)) / F.greatest(F.col("__n"), F.lit(EVIDENCE))
-        return [total((F.col("__letters")[k] * F.lit(float(w)) for k, w in enumerate(row))) * weigh
-                + F.lit(float(p)) for row, p in zip(self.weight, self.prior)]
+        """The logarithm of each domain's probability, but for a constant, from __words and __tokens."""
+        weigh = F.lit(float(EVIDENCE)) / F.greatest(F.col("__tokens"), F.lit(EVIDENCE))
+        out = []
+        for row, p in zip(self.weight, self.prior):
+            # one constant array; written as text, as it is sent to the planner in one piece that way
+            known = F.split(F.lit(",".join(f"{w:.6g}" for w in row)), ",").cast("array<double>")
+            out.append(_sum_of(known) * weigh + F.lit(float(p)))
+        return out
 
 
 def learn(rows: DataFrame, domain: str) -> Domains:
-    """Letter frequencies and share of rows of each domain, from measured rows with a label."""
-    sums = [F.sum(F.col("__letters")[k].cast("long")).alias(f"l{k}") for k in range(len(LETTERS))]
-    got = (rows.where(F.col(domain).isNotNull()).groupBy(F.col(domain).cast("string").alias("domain"))
-           .agg(F.count(F.lit(1)).alias("n"), *sums).orderBy("domain").limit(MAX_DOMAINS + 1).collect())
+    """Word frequencies and share of rows of each domain, from measured rows with a label. At most BUCKETS
+    counts for each domain reach the driver."""
+    known = rows.where(F.col(domain).isNotNull()).withColumn("domain", F.col(domain).cast("string"))
+    got = known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy("domain").limit(MAX_DOMAINS + 1).collect()
     if len(got) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
-    counts = np.array([[r[f"l{k}"] for k in range(len(LETTERS))] for r in got], float).reshape(len(got), len(LETTERS))
-    share = (counts + 1) / (counts + 1).sum(1, keepdims=True)
-    weight = np.log(share) - np.log(share).mean(0) if len(got) else share
+    names = [r["domain"] for r in got]
+    counts = np.ones((len(names), BUCKETS))
+    words = known.select("domain", F.explode("__words").alias("w")).groupBy("domain", "w").agg(
+        F.count(F.lit(1)).alias("n"))
+    for r in words.collect():
+        counts[names.index(r["domain"]), r["w"]] += r["n"]
+    share = np.log(counts / counts.sum(1, keepdims=True))
+    weight = share - share.mean(0) if len(names) else share
     rows_each = np.array([r["n"] for r in got], float)
-    return Domains([r["domain"] for r in got], np.log(rows_each / max(rows_each.sum(), 1)), weight)
+    return Domains(names, np.log(rows_each / max(rows_each.sum(), 1)), weight)
 
 
 def with_memberships(rows: DataFrame, domains: Domains) -> DataFrame:
@@ -98,14 +99,13 @@ def with_memberships(rows: DataFrame, domains: Domains) -> DataFrame:
     if not domains.names:
         return rows.withColumn("__p", F.array().cast("array<double>"))
     names = [f"__e{k}" for k in range(len(domains.names))]
-    rows = rows.withColumn("__n", total(F.col("__letters")[k] for k in range(len(LETTERS))))
     rows = rows.select("*", once(*[e.alias(n) for n, e in zip(names, domains.evidence())]))
     top = F.greatest(*names) if len(names) > 1 else F.col(names[0])
     likely = [F.exp(F.col(n) - top) for n in names]
     return (rows.select("*", once(F.array(*likely).alias("__l")))
             .select("*", once(F.transform("__l", lambda x: x / total(
                 F.col("__l")[k] for k in range(len(names)))).alias("__p")))
-            .drop("__n", "__l", *names))
+            .drop("__l", *names))
 
 
 def rate(steps: list[np.ndarray]) -> Column:

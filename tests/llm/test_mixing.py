@@ -5,14 +5,14 @@ from corpus import AWKWARD, awkward, none
 from tallybook.llm import mixing
 
 
-def test_tokens_and_letters(spark):
-    texts = [None, "", "  ", "a b", "\n a\tb  c ", "É é ß"]
+def test_tokens_and_words(spark):
+    texts = [None, "", "  ", "a b", "\n a\tb  c ", "É é ß", "the The THE"]
     got = spark.createDataFrame([(t,) for t in texts], "text string")
     rows = mixing.measured(got, ["text"]).collect()
     assert [r["__tokens"] for r in rows] == [len((t or "").split()) for t in texts]
     for t, r in zip(texts, rows):
-        low = (t or "").lower()
-        assert r["__letters"] == [low.count(c) for c in mixing.LETTERS]
+        assert len(r["__words"]) == r["__tokens"] and all(0 <= w < mixing.BUCKETS for w in r["__words"])
+        assert len(set(r["__words"])) == len(set((t or "").lower().split()))
 
 
 def test_rates_meet_targets(spark):
