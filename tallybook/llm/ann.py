@@ -36,7 +36,7 @@ K = 20
 CURVES = 20
 DIRECTIONS = 8
 BITS = 7
-WINDOW = 0.02         # of the rows, on either side
+WINDOW = 0.026        # of the rows, on either side
 LEAST_WINDOW = 200
 SAMPLE = 10_000       # vectors whose quantiles make the coordinates even
 BLOCK = 4096          # rows of a curve that a task compares at once
