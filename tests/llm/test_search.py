@@ -5,6 +5,9 @@ import numpy as np
 from corpus import AWKWARD, WORDS, awkward, bm25_words, none, prose
 
 from tallybook.llm import ann, bm25
+from tallybook.llm.registered import queries
+
+SF = "/root/testdata/sf0.001"
 
 
 def brute_bm25(rows, every=20, k=bm25.TOP, terms=bm25.TERMS):
@@ -61,6 +64,42 @@ def test_wand_skips_and_stays_exact():
         assert got == want
 
 
+def test_bm25_asks_with_the_whole_text(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "SHARD", 150)
+    monkeypatch.setattr(bm25, "CHUNK", 3)
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(900)]
+    weight = 1 / np.arange(1, 901)
+    rows = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(30, 250)), p=weight / weight.sum()))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = rows_of(bm25.search(docs))
+    assert got == brute_bm25(rows, terms=None) != brute_bm25(rows, terms=12)
+    assert rows_of(bm25.search(docs, terms=12)) == brute_bm25(rows, terms=12)
+
+
+def test_op7_asks_with_the_whole_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = brute_bm25([tuple(r) for r in docs], terms=None)
+    got = rows_of(queries()["op7_bm25"](spark, SF))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3] for r in got], [r[3] for r in want], rtol=0, atol=2e-9)
+
+
+def test_unread_words_change_nothing(monkeypatch):
+    rng = np.random.default_rng(12)
+    n, reads = 2000, []
+    sums = bm25.Lists.sums
+    monkeypatch.setattr(bm25.Lists, "sums", lambda self, words: reads.append(int(self.sizes[words].sum())) or sums(self, words))
+    sizes = np.array([int(rng.integers(2, 12)) for _ in range(60)] + [int(rng.integers(200, 1500)) for _ in range(40)])
+    docs = np.concatenate([np.sort(rng.choice(n, s, replace=False)) for s in sizes])
+    scores = np.concatenate([rng.uniform(4, 9, s) if s < 20 else rng.uniform(0.01, 0.1, s) for s in sizes])
+    ids = rng.permutation(n)
+    want = sorted((-round(s, 9), ids[d]) for d, s in enumerate(np.bincount(docs, scores, n)) if ids[d] != 3)[:10]
+    lists = bm25.Lists(docs, scores, sizes, ids)
+    assert sorted((-round(s, 9), d) for s, d in lists.best(np.arange(100), 10, 3)) == want
+    assert sum(reads) < sizes.sum() / 2
+
+
 def test_bm25_awkward(spark):
     got = bm25.search(awkward(spark))
     assert rows_of(got) == brute_bm25([r[:2] for r in AWKWARD])
