@@ -16,6 +16,7 @@ from tallybook.session import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_LANGUAGE_SCORE = 0.25  # well below any text in a learned language: held-out texts score 0.48 and more
+NEAR_COPIES = 80  # percent of common shingles from which two texts are near copies here
 TARGETS = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15}
 
 
@@ -34,8 +35,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates."""
-    return neardup.one_of_each(docs, COLUMNS)
+    """Keeps one document of each class of near duplicates, from a similarity of 0.8 on."""
+    return neardup.one_of_each(docs, COLUMNS, NEAR_COPIES)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,21 +2,22 @@
 
 Words are maximal runs of bytes other than ASCII white space, with A-Z in lower case; a document's set
 holds its distinct five-word shingles (a shorter text: its whole word sequence; no word: empty, linked
-with nothing). Documents are linked when 100 * |A & B| >= 85 * |A | B|, and classes are the connected
-components of all links.
+with nothing). Documents are linked when 100 * |A & B| >= percent * |A | B| (85 unless the caller says
+otherwise), and classes are the connected components of all links.
 
 1. Equal texts form one node (by a 128-bit digest of the text), so exact copies never meet in pairs.
-2. Each text gets BANDS band keys of ROWS MinHash values, and an odd sketch: the MinHash samples of SAMPLES
+2. Each text gets band keys of ROWS MinHash values, and an odd sketch: the MinHash samples of SAMPLES
    one-permutation bins, folded into a parity bitmap. The population count of the XOR of two bitmaps
    estimates how many samples differ, most precisely where few do, that is, for high similarities.
 3. Texts that share a band key are compared by sketch, in blocks of at most BLOCK texts, so no task holds
-   a whole bucket, and only pairs of a block whose estimate reaches NEAR are looked at further: first
+   a whole bucket, and only pairs of a block whose estimate comes near the threshold are looked at further: first
    those of a spanning forest, then, once confirmed links have merged most texts, all pairs between
    texts that are still in different classes. So a large group costs few confirmations.
 4. The proposed pairs are confirmed on the full sets of 64-bit shingle hashes.
 
-A pair exactly at the threshold shares no band with probability below 1e-4; estimates err by about 0.02 on
-long texts and far less on short ones, and NEAR leaves a margin of 0.07. Within a bucket the sketches
+The number of bands and the margin of the estimates follow from the threshold: a pair exactly at it shares no
+band with probability MISS at most (24 bands at 85, 38 at 80), and estimates, which err by about 0.02 on long texts
+and far less on short ones, may fall short by MARGIN standard errors (0.07 at 85, 0.09 at 80). Within a bucket the sketches
 of all texts are compared in numpy, without emitting the pairs, so the work of a bucket of texts that
 are similar but not linked grows with its square; its rows and memory do not.
 
@@ -41,18 +42,35 @@ from tallybook.session import cut
 
 SHINGLE = 5
 PERCENT = 85
-BANDS = 24
 ROWS = 6
+MISS = 1.2e-5    # probability that a pair at the threshold shares no band
+MARGIN = 4.3     # standard errors of an estimate
 SAMPLES = 1024   # one-permutation bins whose minima fill the odd sketch
 BITS = 1024
-NEAR = 0.78
 BLOCK = 512
 CACHE = 1 << 20  # word hashes a task remembers
 
-_rng = np.random.default_rng(20240229)
-_MULTIPLY = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
-_STEP = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
+_STEP = np.random.default_rng(20240301).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
+
+
+def bands(percent: int) -> int:
+    return int(np.ceil(np.log(MISS) / np.log1p(-((percent / 100) ** ROWS)))) if percent < 100 else 1
+
+
+def near(percent: int) -> float:
+    """The least estimate of a pair that is looked at further."""
+    s = percent / 100
+    differ = 2 * SAMPLES * (1 - s)
+    flipped = BITS / 4 * -np.expm1(-4 * differ / BITS)  # variance of the differing bits
+    slope = 2 * SAMPLES * np.exp(-2 * differ / BITS)    # bits for a unit of similarity
+    return s - MARGIN * float(np.sqrt(flipped / slope**2 + s * (1 - s) / SAMPLES))
+
+
+def min_hashes(percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of the MinHash functions of all bands."""
+    rng, size = np.random.default_rng(20240229), bands(percent) * ROWS
+    multiply = rng.integers(1, 1 << 32, size, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+    return multiply, rng.integers(0, 1 << 32, size, dtype=np.uint64).astype(np.uint32)
 
 
 class WordHashes(dict):
@@ -85,15 +103,15 @@ def shingles(text: str | None, words: dict) -> np.ndarray:
     return np.unique(total)
 
 
-def signature(found: np.ndarray) -> tuple[np.ndarray, bytes]:
+def signature(found: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> tuple[np.ndarray, bytes]:
     """Band keys and odd sketch of a non-empty shingle set."""
     low = (found & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    least = np.full(len(multiply), 0xFFFFFFFF, np.uint32)
     for start in range(0, len(low), 1024):  # bounded memory for texts of any length
-        x = low[start:start + 1024, None] * _MULTIPLY + _ADD
+        x = low[start:start + 1024, None] * multiply + add
         x ^= x >> np.uint32(15)
         np.minimum(least, x.min(0), out=least)
-    keys = np.arange(BANDS, dtype=np.uint64)
+    keys = np.arange(len(multiply) // ROWS, dtype=np.uint64)
     for r in range(ROWS):
         keys = _mix(keys + least[r::ROWS].astype(np.uint64) * _STEP[0] + np.uint64(r))
     # `found` is sorted, so the first hash of each value of the top bits is that bin's minimum
@@ -103,15 +121,15 @@ def signature(found: np.ndarray) -> tuple[np.ndarray, bytes]:
     return keys.view(np.int64), np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordHashes()
+def _signatures(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    words, hashes = WordHashes(), min_hashes(percent)
     for batch in batches:
         for piece in text_slices(batch):
             size, bands, sketch, known = [], [], [], {}
             for node, text in zip(piece.column(0).to_pylist(), piece.column(2).to_pylist()):
                 if node not in known:
                     found = shingles(text, words)
-                    known[node] = (len(found), *(signature(found) if len(found) else (None, None)))
+                    known[node] = (len(found), *(signature(found, *hashes) if len(found) else (None, None)))
                 n, b, s = known[node]
                 size.append(n), bands.append(b), sketch.append(s)
             yield pa.RecordBatch.from_arrays(
@@ -125,11 +143,11 @@ def text_node(text: str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     rows = docs.select(text_node(text).alias("node"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_signatures, f"node binary, doc_id {kind}, n_shingles long, bands array<long>, "
-                                        "sketch binary")
+    return rows.mapInArrow(lambda batches: _signatures(batches, percent),
+                           f"node binary, doc_id {kind}, n_shingles long, bands array<long>, sketch binary")
 
 
 # ---- candidates -----------------------------------------------------------------------------------
@@ -155,7 +173,7 @@ def blocks(nodes: DataFrame, full: DataFrame) -> DataFrame:
                          "own", "node")
 
 
-def estimates(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
+def estimates(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Similarity of each text of a with each of b, from odd sketches (rows of 64-bit words) and set sizes.
 
     With z of BITS bits differing, about -BITS/2 * ln(1 - 2z/BITS) samples differ. A set of n shingles is
@@ -169,15 +187,15 @@ def estimates(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> n
     filled = lambda n: SAMPLES * -np.expm1(-n / SAMPLES)
     agree = np.maximum(filled(na)[:, None] + filled(nb)[None] - differ, 0) / 2
     total = na[:, None] + nb[None]
-    est = np.full(z.shape, PERCENT / 100)
+    est = np.full(z.shape, percent / 100)
     for _ in range(5):
         est = np.minimum(agree / filled(total / (1 + est)), 1)
     small, large = np.minimum(na[:, None], nb[None]), np.maximum(na[:, None], nb[None])
-    est[small * 100 < large * PERCENT] = 0  # sizes alone rule the link out
+    est[small * 100 < large * percent] = 0  # sizes alone rule the link out
     return est
 
 
-def _pairs(groups: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
+def _pairs(groups: Iterator[pa.RecordBatch], forest: bool, percent: int) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each group of one batch."""
     for batch in groups:
         own = np.array(batch.column("own").to_pylist())
@@ -191,12 +209,12 @@ def _pairs(groups: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.Record
         right = left if batch.column("i")[0] == batch.column("j")[0] else np.flatnonzero(~first)
         if not len(left) or not len(right):
             continue
-        est = estimates(sketch[left], n[left], sketch[right], n[right])
+        est = estimates(sketch[left], n[left], sketch[right], n[right], percent)
         if right is left:
             est[np.tril_indices(len(left))] = 0
         if kind is not None:
             est[kind[left][:, None] == kind[right][None]] = 0
-        x, y = np.nonzero(est >= NEAR)
+        x, y = np.nonzero(est >= near(percent))
         e = est[x, y]
         x, y = left[x], right[y]
         if kind is not None:
@@ -231,14 +249,15 @@ def _forest(x: np.ndarray, y: np.ndarray, e: np.ndarray, size: int) -> list[int]
     return picked
 
 
-def _group_pairs(group: pa.Table, forest: bool) -> pa.Table:
+def _group_pairs(group: pa.Table, forest: bool, percent: int) -> pa.Table:
     batch = group.combine_chunks().to_batches()
-    out = list(_pairs(iter(batch), forest))
+    out = list(_pairs(iter(batch), forest, percent))
     schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
     return pa.Table.from_batches(out, schema)
 
 
-def candidates(members: DataFrame, nodes: DataFrame, forest: bool, roots: DataFrame | None = None) -> DataFrame:
+def candidates(members: DataFrame, nodes: DataFrame, forest: bool, roots: DataFrame | None = None,
+               percent: int = PERCENT) -> DataFrame:
     """Distinct pairs (u, v) whose sketches look linked: a spanning forest of each group, or all pairs
     between texts of different classes (`roots`: node, root)."""
     facts = nodes.select("node", "n_shingles", "sketch", "bands")
@@ -250,7 +269,7 @@ def candidates(members: DataFrame, nodes: DataFrame, forest: bool, roots: DataFr
         rows = rows.join(mixed, ["band", "i", "j"])
     rows = rows.join(facts, "node")
     found = (rows.groupBy("band", "i", "j")
-             .applyInArrow(lambda group: _group_pairs(group, forest), "u binary, v binary"))
+             .applyInArrow(lambda group: _group_pairs(group, forest, percent), "u binary, v binary"))
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -264,24 +283,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in text_slices(batch):
             keep = []
             for a, b in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist()):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * common >= PERCENT * (len(a) + len(b) - common))
+                keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], names=["u", "v"]).filter(
                 pa.array(keep, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose full shingle sets are similar enough."""
     left = sets.select(F.col("node").alias("u"), F.col("set").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
     return (pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-            .mapInArrow(_confirm, "u binary, v binary"))
+            .mapInArrow(lambda batches: _confirm(batches, percent), "u binary, v binary"))
 
 
 def row_key() -> Column:
@@ -304,9 +323,10 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", tex
 
 # ---- classes ----------------------------------------------------------------------------------------
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of `docs`: node, doc_id, n_shingles, component_id, kept."""
-    signed = cut(signatures(docs, doc_id, text))
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per row of `docs`: node, doc_id, n_shingles, component_id, kept. `percent` is the least similarity
+    of a link."""
+    signed = cut(signatures(docs, doc_id, text, percent))
     filled = signed.where("n_shingles > 0")
     nodes = cut(filled.select("node", "n_shingles", "bands", "sketch").dropDuplicates(["node"]))
     full = cut(buckets(nodes))
@@ -314,12 +334,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     copies = cut(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     near = members.select("node").distinct().join(copies, "node")
     # every text that shares a bucket may have to be confirmed; its set is made once
-    first = cut(candidates(members, nodes, forest=True))
+    first = cut(candidates(members, nodes, forest=True, percent=percent))
     sets = cut(shingle_sets(docs, near, doc_id, text))
-    links = cut(confirmed(first, sets))
+    links = cut(confirmed(first, sets, percent))
     roots = cut(components(links))
-    rest = candidates(members, nodes, forest=False, roots=roots)
-    links = links.unionByName(confirmed(rest, sets))
+    rest = candidates(members, nodes, forest=False, roots=roots, percent=percent)
+    links = links.unionByName(confirmed(rest, sets, percent))
     roots = components(links)
     named = copies.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     named = cut(named)
@@ -333,10 +353,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                       F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, columns: list[str]) -> DataFrame:
+def one_of_each(docs: DataFrame, columns: list[str], percent: int = PERCENT) -> DataFrame:
     """The given columns of one document of each class. Repeated rows of it stay once; rows without id
     stay only where their class has no id."""
-    chosen = classes(docs).where("kept").select(row_key().alias("__key"))
+    chosen = classes(docs, percent=percent).where("kept").select(row_key().alias("__key"))
     rows = (docs.select(*columns, text_node().alias("node"))
             .withColumn("__key", row_key()).drop("node"))
     # one shuffle of the texts serves both the join and the removal of repeated rows

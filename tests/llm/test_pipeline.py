@@ -1,6 +1,8 @@
+import random
+
 import corpus_pipeline
 import pytest
-from corpus import AWKWARD, SCHEMA, prose
+from corpus import AWKWARD, SCHEMA, prose, shingles
 
 from tallybook.llm import langid, neardup
 from tallybook.llm.registered import oracle_sql, queries
@@ -44,6 +46,23 @@ def test_stages_one_by_one(spark, folder):
     assert packed.select("doc_id").distinct().count() == mixed.select("doc_id").distinct().count()
 
 
+def test_near_duplicates_from_similarity_of_80_percent(spark):
+    rng = random.Random(6)
+    rows = []
+    for group in range(40):
+        words = prose(1000 + group, 150).split()
+        rows.append((2 * group, " ".join(words)))
+        for at in rng.sample(range(8, 140, 10), 2 + group % 4):  # 2 to 5 words changed: 0.71 to 0.87
+            words[at] = f"new{at}"
+        rows.append((2 * group + 1, " ".join(words)))
+    sets = {k: shingles(t) for k, t in rows}
+    like = {k: len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in sets if k % 2 == 0}
+    assert {int(20 * s) / 20 for s in like.values()} >= {0.7, 0.75, 0.8, 0.85}
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], SCHEMA)
+    got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()}
+    assert got == set(like) | {k + 1 for k, s in like.items() if s < 0.8}
+
+
 def test_run_and_empty_tables(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
     root = fresh_path(spark, "tables")
