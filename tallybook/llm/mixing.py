@@ -6,12 +6,14 @@
    domain's expected tokens, sum(rate * tokens * membership), and its target, starting at rate 1 for all.
    Each step is one aggregate of one row over the written memberships: only the domains' sums, a few
    numbers, reach the driver, and a document's rate is a column expression over them.
+   With `keep_all` no rate is below 1, so every row comes out: rates are then a weight for each domain, averaged
+   by membership, and the least weight is 1. The weights follow from the domains' second moments alone.
 3. A rate becomes whole copies: its integer part, and one more if a hash of the document falls below its
    fraction. So the same rows are chosen at every run and on every retry.
 
 A null or empty text has no tokens: its membership is the domains' prior, and as it changes
-no total it keeps rate 1. Rows without a label teach nothing; domains without a target share have target 0;
-targets are scaled to 1. Repeated rows are treated alike. Without any labelled row there are no domains and
+no total it keeps rate 1. Rows without a label teach nothing; domains without a target share have target 0
+(with `keep_all` their present share); targets are scaled to 1 (to what those shares leave). Repeated rows are treated alike. Without any labelled row there are no domains and
 every rate is 1. A null id hashes like the text. Texts of any length are read whole. An empty table gives
 no rows. Other columns are ignored.
 """
@@ -19,6 +21,7 @@ no rows. Other columns are ignored.
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -33,6 +36,7 @@ MAX_DOMAINS = 200  # the classifier is a set of literals of this many rows
 STEPS = 24
 SCALED = 4
 PRECISION = 1e-4
+MOST_GROWTH = 2
 
 
 def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -108,9 +112,9 @@ def with_memberships(rows: DataFrame, domains: Domains) -> DataFrame:
             .drop("__l", *names))
 
 
-def rate(steps: list[np.ndarray]) -> Column:
+def rate(steps: list[np.ndarray], least: float = 0.0) -> Column:
     """The rate of a document after these steps, each a change per unit of membership."""
-    made = reduce(lambda r, step: F.greatest(F.lit(0.0), r - total(
+    made = reduce(lambda r, step: F.greatest(F.lit(least), r - total(
         F.col("__p")[d] * F.lit(float(s)) for d, s in enumerate(step))), steps, F.lit(1.0))
     return F.when(F.col("__tokens") > 0, made).otherwise(F.lit(1.0))
 
@@ -119,7 +123,8 @@ def fit_rates(rows: DataFrame, domains: Domains, targets: dict[str, float], keep
               steps: int = STEPS, precision: float = PRECISION) -> list[np.ndarray]:
     """Projected gradient steps on rows with __tokens and __p.
 
-    The total number of tokens stays, or, with `keep_all`, grows just so far that no domain has to shrink.
+    The total number of tokens stays, or, with `keep_all`, grows just so far that no document has to shrink; see
+    `raises`.
     A document's gradient is its tokens times sum(p_d * excess_d). Dividing by the tokens (steps in the
     metric that weighs documents by tokens) leaves the same optimum and moves all documents alike. The
     first SCALED steps are scaled by the inverse of the memberships' token-weighted second moments, which
@@ -130,6 +135,7 @@ def fit_rates(rows: DataFrame, domains: Domains, targets: dict[str, float], keep
     if not k:
         return []
     weights = np.array([max(0.0, targets.get(n, 0.0)) for n in domains.names])
+    given = np.array([n in targets for n in domains.names])
     if not weights.sum():
         raise ValueError("no target names a domain of the labelled rows")
     p, t = F.col("__p"), F.col("__tokens").cast("double")
@@ -141,7 +147,8 @@ def fit_rates(rows: DataFrame, domains: Domains, targets: dict[str, float], keep
     second = np.array([[first[f"m{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)]) / total
     share, goal = second.sum(1), weights / weights.sum()  # at rate 1: E[p_a] = sum over b of E[p_a p_b]
     if keep_all:
-        goal = goal * max(1.0, *(share[goal > 0] / goal[goal > 0]))
+        goal = np.where(given, goal * share[given].sum(), share)
+        return [1 - raises(second, goal)]
     inverse = np.linalg.pinv(second, rcond=1e-6)
     done: list[np.ndarray] = []
     excess = share - goal
@@ -154,6 +161,28 @@ def fit_rates(rows: DataFrame, domains: Domains, targets: dict[str, float], keep
     return done
 
 
+def raises(second: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Weights of the domains, 1 or more, under which the domains' expected tokens have the shares of `goal`.
+
+    A document's rate is its memberships' mean of the weights, so the expected tokens are second @ weights. If
+    only weights below 0, or tokens beyond MOST_GROWTH of what pure domains would need, gave those shares (as with
+    domains that the classifier can't tell apart), the weights are those that come nearest to them.
+    """
+    wanted = goal > 0
+    least = max(1.0, float((second.sum(1)[wanted] / goal[wanted]).max()))
+    exact = np.linalg.pinv(second, rcond=1e-6) @ goal
+    if exact.min() > 0 and 1 / exact.min() <= MOST_GROWTH * least and np.abs(second @ exact - goal).max() <= PRECISION:
+        return exact / exact.min()
+    warnings.warn("targets are out of reach while every document is kept; mixed as near to them as that allows")
+    weights, step = np.ones(len(goal)), 1 / np.linalg.eigvalsh(second)[-1] ** 2
+    for _ in range(100_000):  # a few numbers on the driver
+        moved = np.maximum(weights - step * (second @ (second @ weights - least * goal)), 1.0)
+        if np.abs(moved - weights).max() < 1e-9:
+            break
+        weights = moved
+    return weights
+
+
 def copies(key: list[str]) -> Column:
     """Whole copies for the column `rate`: its integer part and a fair, repeatable choice for the rest."""
     draw = F.pmod(F.xxhash64(F.lit("copies"), *key), F.lit(1 << 30)) / float(1 << 30)
@@ -171,7 +200,7 @@ def mix(docs: DataFrame, domain: str, targets: dict[str, float], teach: Column |
     named = (F.map_from_arrays(F.array(*map(F.lit, domains.names)), F.col("__p")) if domains.names
              else F.create_map().cast("map<string,double>"))
     return (rows.select("doc_id", F.col("__tokens").alias("tokens"), named.alias("membership"),
-                        rate(steps).alias("rate"), "__hash")
+                        rate(steps, float(keep_all)).alias("rate"), "__hash")
             .withColumn("copies", copies(["doc_id", "__hash"])).drop("__hash"))
 
 
@@ -192,7 +221,7 @@ def mixed(docs: DataFrame, domain: str, targets: dict[str, float], columns: list
     """The documents themselves, each as often as its copies say; memberships are worked out again from
     the text, so texts aren't shuffled."""
     _, domains, steps = prepared(docs, domain, targets, keep_all=keep_all)
-    rows = with_memberships(measured(docs, list(dict.fromkeys([*columns, "doc_id", "text"]))), domains).select("*", once(rate(steps).alias("rate")))
+    rows = with_memberships(measured(docs, list(dict.fromkeys([*columns, "doc_id", "text"]))), domains).select("*", once(rate(steps, float(keep_all)).alias("rate")))
     rows = rows.withColumn("__hash", F.xxhash64("text"))
     rows = rows.withColumn("__copies", copies(["doc_id", "__hash"])).where("__copies > 0")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*columns)

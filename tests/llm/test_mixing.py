@@ -33,6 +33,36 @@ def test_rates_meet_targets(spark):
     assert mixing.mixed(docs, "kind", targets, ["doc_id"], keep_all=True).select("doc_id").distinct().count() > 395
 
 
+def test_keep_all_drops_no_row(spark):
+    rng = np.random.default_rng(7)
+    kinds = {"x": "aaab aab abab", "y": "zzyx zyz xyzz", "z": "mnom onmn mono"}
+    every = [w for k in kinds.values() for w in k.split()]
+    rows = []
+    for i, k in enumerate(rng.choice(list("xyz"), 900, p=[0.8, 0.1, 0.1])):
+        n = int(rng.integers(5, 100))  # one word in ten of any domain, so that memberships are mixed
+        rows.append((i, " ".join(rng.choice(every if rng.random() < 0.1 else kinds[k].split()) for _ in range(n)), str(k)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    for targets in ({"x": 0.4, "y": 0.3, "z": 0.3}, {"x": 0.5, "y": 0.5}):
+        out = mixing.mixed(docs, "kind", targets, ["doc_id"], keep_all=True)
+        assert {r.doc_id for r in out.collect()} == set(range(900))
+        got = mixing.mix(docs, "kind", targets, keep_all=True).collect()
+        assert min(r.rate for r in got) >= 1
+        tokens = sum(r.tokens for r in got)
+        now = {k: sum(r.tokens * r.membership[k] for r in got) / tokens for k in kinds}
+        rest = sum(now[k] for k in targets)
+        total = sum(r.tokens * r.rate for r in got)
+        for k in kinds:
+            want = targets[k] * rest if k in targets else now[k]
+            assert abs(sum(r.tokens * r.rate * r.membership[k] for r in got) / total - want) < 2e-3
+
+
+def test_raises_out_of_reach():
+    alike = np.outer([0.8, 0.2], [0.8, 0.2])  # every document has the same memberships
+    with pytest.warns(UserWarning):
+        got = mixing.raises(alike, np.array([0.2, 0.8]))
+    assert got.min() >= 1 and np.isfinite(got).all()
+
+
 def test_zero_target_cuts_rates_at_zero(spark):
     docs = spark.createDataFrame([(i, "aaa ab" if i % 2 else "zzz zy", "p" if i % 2 else "q") for i in range(40)],
                                  "doc_id long, text string, kind string")
