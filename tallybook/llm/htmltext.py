@@ -6,7 +6,8 @@ tags it holds, its nearest containers, and whether it stands inside something th
 ratio of text to tags is smoothed over neighbouring lines by a Gaussian kernel, and lines whose smoothed
 ratio reaches the page's threshold (the ratios' standard deviation) are seeds. The regions, that is the
 containers, of the seeds are the content, and every line of them that isn't excluded is kept, so a short
-paragraph of an article is not lost. If a page has an `article` or `main` with text, only such regions count.
+paragraph of an article is not lost. A class, id or role excludes by the last part of one of its names (see
+`named`), but classes and ids never exclude an article, or a container with most of the page's text. If a page has an `article` or `main` with text, only such regions count.
 
 Character references are decoded, white space inside a block (line breaks too) becomes one space, blocks are
 trimmed, empty ones dropped, and the rest joined in page order by a blank line. Null and empty pages give an
@@ -46,26 +47,47 @@ comments complementary consent contentinfo cookie cookies disclaimer disqus foot
 modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promoted
 promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored
 sponsors subscribe subscription taboola toolbar widget""".split())
+REPLIES = frozenset("comment comments disqus replies respond".split())  # may well outweigh the article
+# parts that say what a thing looks like or where it stands; what it is stands before them
+SHAPES = frozenset("""area bar block body bottom box button buttons column container content cta form group header
+holder icons inline inner item items left link links list main module outer panel posts primary right row secondary
+section slot text title top unit wrap wrapper zone""".split())
+STATES = frozenset("has is no not with without".split())  # first parts of names that tell a page's state
 _WORDS = re.compile(r"[a-z0-9]+")
+HARD = 1         # mark of what is excluded whatever it holds
+
+
+def named(name: str) -> str | None:
+    """The aside that a class or id names: the whole of it or its last part, but for numbers and SHAPES."""
+    parts = [w for w in _WORDS.findall(name) if not w.isdigit()]
+    if not parts or parts[0] in STATES:
+        return None
+    while len(parts) > 1 and parts[-1] in SHAPES:
+        parts.pop()
+    # every building block of some page builders is some-widget
+    return parts[-1] if parts[-1] in ASIDE and (parts[-1] != "widget" or name == "widget") else None
 
 
 class Lines(HTMLParser):
-    """Collects lines (text, tags, region, inside article or main, excluded) from parser events."""
+    """Collects lines (text, tags, region, inside article or main, mark) from parser events. A mark is 0, HARD, or
+    the number of the innermost element that its class or id may exclude."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, int]] = []
+        # of each mark: the mark around it, and whether it holds replies
+        self.marks: list[tuple[int, bool]] = [(0, False), (0, False)]
         self.text: list[str] = []
         self.tags = 0
         self.regions = 0
-        # open elements: tag, excluded, region, inside article or main
-        self.open: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
+        # open elements: tag, mark, region, inside article or main
+        self.open: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            _, excluded, region, content = self.open[-1]
-            self.lines.append((text, self.tags, region, content, excluded))
+            _, mark, region, content = self.open[-1]
+            self.lines.append((text, self.tags, region, content, mark))
             self.tags = 0
         self.text = []
 
@@ -78,25 +100,46 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        _, excluded, region, content = self.open[-1]
-        if not excluded:
-            excluded = tag in NEVER or (tag == "header" and not content) or self.marked(tag, attrs)
+        _, mark, region, content = self.open[-1]
+        if mark != HARD:
+            if tag in NEVER or (tag == "header" and not content) or self.barred(tag, attrs):
+                mark = HARD
+            elif asides := self.asides(tag, attrs):
+                self.marks.append((mark, not REPLIES.isdisjoint(asides)))
+                mark = len(self.marks) - 1
         if tag in REGIONS:
             self.regions += 1
             region = self.regions
-        self.open.append((tag, excluded, region, content or tag in CONTENT))
+        self.open.append((tag, mark, region, content or tag in CONTENT))
 
     @staticmethod
-    def marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def barred(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """Hidden, or of a role that is never content."""
         if tag in ("html", "body", "main"):
             return False
-        for name, value in attrs:
-            if name in ("class", "id", "role") and value:
-                if not ASIDE.isdisjoint(_WORDS.findall(value.lower())):
-                    return True
-            elif name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-        return False
+        return any(name == "hidden" or name == "aria-hidden" and value == "true"
+                   or name == "role" and value and tag != "article" and not ASIDE.isdisjoint(value.lower().split())
+                   for name, value in attrs)
+
+    @staticmethod
+    def asides(tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
+        if tag in ("html", "body", "main", "article"):
+            return set()
+        found = {named(n) for name, value in attrs if name in ("class", "id") and value for n in value.lower().split()}
+        return found - {None}
+
+    def excluded(self) -> list[bool]:
+        """Of each line, whether it stands in something excluded."""
+        held = [0] * len(self.marks)
+        for text, _, _, _, mark in self.lines:
+            held[mark] += len(text)
+        whole = sum(held) - held[HARD]
+        for k in range(len(held) - 1, HARD, -1):  # a mark's number is larger than that of the one around it
+            held[self.marks[k][0]] += held[k]
+        out = [False, True]
+        for (around, replies), n in zip(self.marks[2:], held[2:]):
+            out.append(out[around] or replies or 2 * n <= whole)
+        return [out[mark] for *_, mark in self.lines]
 
     def end_implied(self, tag: str) -> None:
         """A new block ends an open paragraph, a new list item or row the open one."""
@@ -128,9 +171,9 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        _, excluded, _, _ = self.open[-1]
+        _, mark, _, _ = self.open[-1]
         block = next((o for o in reversed(self.open) if o[0] in BLOCKS or not o[0]))
-        if excluded and not block[1]:
+        if mark != block[1]:
             return  # an excluded inline element inside a block: only its own text goes
         self.text.append(data)
 
@@ -152,10 +195,11 @@ def main_text(page: str | None) -> str:
     parser.close()
     parser.flush()
     lines = parser.lines
-    if not any(not excluded for *_, excluded in lines):
+    excluded = parser.excluded()
+    if all(excluded):
         return ""
-    ratio = np.array([0.0 if excluded else len(text) / max(tags, 1) for text, tags, _, _, excluded in lines])
-    allowed = np.array([not excluded for *_, excluded in lines])
+    ratio = np.array([0.0 if out else len(text) / max(tags, 1) for (text, tags, *_), out in zip(lines, excluded)])
+    allowed = ~np.array(excluded)
     smooth = np.where(allowed, smoothed(ratio), 0)
     content = np.array([inside for _, _, _, inside, _ in lines])
     if (content & allowed).any():

@@ -64,6 +64,27 @@ def test_main_text(page, want):
     assert htmltext.main_text(page) == want
 
 
+STORY = "<p>A first paragraph that is long enough to be content.<p>And a second one that is just as long as it."
+TOLD = "A first paragraph that is long enough to be content.\n\nAnd a second one that is just as long as it."
+WIDGET = "<div class='elementor-widget elementor-widget-text-editor'><div class='elementor-widget-container'>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body class='has-sidebar'><article class='post has-sidebar comments-open'>{STORY}</article>", TOLD),
+    (f"<article class='sidebar' id='related'>{STORY}<div class='widget'><p>no</div></article>", TOLD),
+    (f"<body><div class='site has-sidebar comments-open'>{STORY}</div>", TOLD),
+    (f"<article>{''.join(f'{WIDGET}{p}</div></div>' for p in STORY.split('<p>'))}</article>", TOLD),
+    (f"<body><div class='content-sidebar-wrap'><div class='post'>{STORY}</div>"
+     "<div class='sidebar-left'><p>no</div><div class='widget widget_recent'><p>no</div></div>", TOLD),
+    (f"<article>{STORY}<div class='ad-slot-2'><p>no</div><div class='social-links'><p>no</div></article>", TOLD),
+    (f"<body><div class='post'>{STORY}</div><div id='comments' class='comments-area'>{STORY * 3}</div>", TOLD),
+    (f"<article>{STORY} <span class='share'>no</span></article>", TOLD),
+    (f"<article>{STORY}<div role='navigation'><p>no</div><div hidden>no</div></article>", TOLD),
+])
+def test_classes_of_ordinary_themes(page, want):
+    assert htmltext.main_text(page) == want
+
+
 def test_long_page_is_read_whole():
     page = "<article>" + "".join(f"<p>para {i}</p>" for i in range(120_000)) + "</article>"
     assert htmltext.main_text(page) == "\n\n".join(f"para {i}" for i in range(120_000))
