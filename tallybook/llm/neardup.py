@@ -19,7 +19,8 @@ The number of bands and the margin of the estimates follow from the threshold: a
 band with probability MISS at most (24 bands at 85, 38 at 80), and estimates, which err by about 0.02 on long texts
 and far less on short ones, may fall short by MARGIN standard errors (0.07 at 85, 0.09 at 80). Within a bucket the sketches
 of all texts are compared in numpy, without emitting the pairs, so the work of a bucket of texts that
-are similar but not linked grows with its square; its rows and memory do not.
+are similar but not linked grows with its square. So do its rows, M * M / BLOCK of them for M texts, as each
+block meets every other; a task's memory does not.
 
 Null and empty texts: n_shingles 0, component_id = doc_id, kept. Null ids: the row belongs to its class, but
 gives it no id; kept is false for it unless the class has no id at all. Repeated rows each get the same
