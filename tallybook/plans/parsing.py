@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallybook.functions import text as tx
 from tallybook.operators import matching as mt
 from tallybook.operators import profiling as pf
-from tallybook.operators.fills import forward_fill
+from tallybook.operators.fills import forward_fill, upload_block
 from tallybook.plans.extract import RAW_COLUMNS, extract, oracle_extract, table
 from tallybook.registry import DENYLIST, METADATA_LABELS, REQUIRED_FIELDS
 from tallybook.session import cut, fresh_path
@@ -20,10 +20,13 @@ STAMP = 1_700_000_000_000
 
 # Uploaded files: the export as CSV under {business}/{timestamp}-{name}, with two title rows.
 
-def write_uploads(spark: SparkSession, sf_dir: str) -> str:
-    """CSV files, several parts per upload in file order, in the shared folder."""
+def write_uploads(spark: SparkSession, sf_dir: str, description: str | None = None) -> str:
+    """CSV files, several parts per upload in file order, in the shared folder. `description` is SQL
+    for what stands between the quotes of a description."""
     root = fresh_path(spark, "uploads")
     raw = extract(spark, sf_dir)
+    if description is not None:
+        raw = raw.withColumn("Description", F.expr(description))
     quoted = [F.concat(F.lit('"'), F.col(c), F.lit('"')) if c == "Description" else F.col(c)
               for c in RAW_COLUMNS]
     line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in quoted])
@@ -68,6 +71,30 @@ def upload_lines(spark, sf_dir):
         F.min("InvoiceDate").alias("date"))
 
 
+# Every third line's description runs over several lines, with commas and quotes in it.
+_LONG_TEXT = """CASE WHEN _ord.l_orderkey % 3 = 0
+  THEN concat(trim(Description), ', ""new""\\n\\n', Channel, '\\n,end') ELSE Description END"""
+
+
+def upload_quoted(spark, sf_dir):
+    """Files whose cells hold line breaks, commas and quotes, read back in byte ranges."""
+    cells = cut(up.read_cells(spark, write_uploads(spark, sf_dir, _LONG_TEXT)))
+    rows = up.data_rows(cells, up.detect_header(up.head(cells)))
+    lines = up.raw_lines(rows, RAW_COLUMNS)
+    return lines.groupBy("dataset_id", "InvoiceNo").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("Description").alias("description"),
+        F.sum(F.length("Description")).alias("letters"), F.min("Channel").alias("channel"))
+
+
+def upload_fill(spark, sf_dir):
+    """Uploads filled downwards as sheets with merged cells, range by range of each file."""
+    cells = cut(_cells(spark, sf_dir))
+    rows = up.data_rows(cells, up.detect_header(up.head(cells)))
+    lines = forward_fill(up.raw_lines(rows, RAW_COLUMNS), ["InvoiceNo", "StockCode", "Stock", "Region"], "_ord",
+                         ["dataset_id"], upload_block())
+    return lines.groupBy("dataset_id", "InvoiceNo", "StockCode", "Stock", "Region").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def parse_uploads(spark, sf_dir):
     """Unknown files to mapping, coverage and warnings."""
     cells = cut(_cells(spark, sf_dir))
@@ -229,6 +256,7 @@ def forward_fills(spark, sf_dir):
 
 QUERIES = {
     "upload_head": upload_head, "upload_counts": upload_counts, "upload_lines": upload_lines,
+    "upload_quoted": upload_quoted, "upload_fill": upload_fill,
     "parse_uploads": parse_uploads, "header_detect": header_detect,
     "header_normalise": header_normalise, "fuzzy_match": fuzzy_match,
     "column_profile": column_profile, "pattern_profile": pattern_profile,
@@ -384,6 +412,17 @@ SELECT dataset_id || '/{STAMP}-' || dataset_id || '-sales.csv' AS dataset_id, In
   count(*) AS rows, count(nullif(StockCode, 'nan')) AS codes,
   count(nullif(Description, 'nan')) AS descriptions,
   max(nullif(UnitPrice, 'N/A')) AS top_price, min(InvoiceDate) AS date FROM export GROUP BY 1, 2""",
+    "upload_quoted": _CSV + f"""
+SELECT dataset_id || '/{STAMP}-' || dataset_id || '-sales.csv' AS dataset_id, InvoiceNo, count(*) AS rows,
+  max(t) AS description, sum(length(t))::BIGINT AS letters, min(Channel) AS channel
+FROM (SELECT *, CASE WHEN l_orderkey % 3 = 0
+    THEN trim(Description) || ', "new"' || chr(10) || chr(10) || Channel || chr(10) || ',end'
+    ELSE nullif(Description, 'nan') END AS t FROM export) GROUP BY 1, 2""",
+    "upload_fill": _CSV + f"""
+SELECT *, count(*) AS rows FROM (SELECT dataset_id || '/{STAMP}-' || dataset_id || '-sales.csv' AS dataset_id, {", ".join(
+        f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in ("InvoiceNo", "StockCode", "Stock", "Region"))}
+FROM (SELECT dataset_id, ord, InvoiceNo, nullif(StockCode, 'nan') AS StockCode, nullif(Stock, 'n/a') AS Stock, Region
+  FROM export) WINDOW w AS (PARTITION BY dataset_id ORDER BY ord)) GROUP BY ALL""",
     "header_detect": r"""WITH lines AS (
   SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
