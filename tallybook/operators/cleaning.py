@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallybook.functions import text as tx
 from tallybook.operators.lookup import lookup_join
 from tallybook.registry import ATTRIBUTE_PREFIX, UNMAPPED
+from tallybook.session import cut
 
 KEYS = ("dataset_id", "_ord")
 
@@ -29,6 +30,12 @@ KNOWN_TARGETS = (*NUMBER_TARGETS, *ID_TARGETS, *DATE_TARGETS, *TEXT_TARGETS, "or
 QUANTITY = ("order_item.quantity", "quantity")
 PRICE = ("product.price", "price", "order_item.unitPrice")
 COST = ("product.cost", "cost")
+PRODUCT_KEY = ("product_id", "product.name")
+CUSTOMER_KEY = ("customer_id", "customer.email", "customer.fullName")
+ORDER_DATE = ("order_date", "order_item.createdAt")
+# Column that holds, where lines of several layouts come together, the first of the targets each dataset has.
+ROLES = {QUANTITY: "_quantity", PRICE: "_price", COST: "_cost", PRODUCT_KEY: "_product_key",
+         CUSTOMER_KEY: "_customer_key", ORDER_DATE: "_order_date"}
 
 
 @dataclass(frozen=True)
@@ -69,6 +76,8 @@ def column_of(target: str) -> str:
 
 def first_present(df: DataFrame, *targets: str) -> str | None:
     """First of the targets that the file has; a choice of column, not of value."""
+    if ROLES.get(targets) in df.columns:
+        return ROLES[targets]
     return next((column_of(t) for t in targets if column_of(t) in df.columns), None)
 
 
@@ -135,7 +144,7 @@ def normalise(lines: DataFrame) -> DataFrame:
     def present(targets: tuple[str, ...]) -> list[str]:
         return [column_of(t) for t in targets if column_of(t) in lines.columns]
 
-    numbers, ids, texts = present(NUMBER_TARGETS), present(ID_TARGETS), present(TEXT_TARGETS)
+    numbers, ids, texts = present((*NUMBER_TARGETS, "_quantity")), present(ID_TARGETS), present(TEXT_TARGETS)
     dates = present(DATE_TARGETS)
     read = {c: tx.amount(F.col(c)) for c in numbers}
     read |= {c: tx.id_text(F.col(c)) for c in ids}
@@ -150,7 +159,7 @@ def normalise(lines: DataFrame) -> DataFrame:
 def date_notation(lines: DataFrame, column: str) -> DataFrame:
     """Per dataset the notation that reads most values of `column`; the earlier one on ties. Each
     distinct text is tried once."""
-    texts = lines.groupBy("dataset_id", column).agg(F.count(F.lit(1)).alias("_n"))
+    texts = lines.filter(F.col(column).isNotNull()).groupBy("dataset_id", column).agg(F.count(F.lit(1)).alias("_n"))
     reads = [F.sum(F.when(tx.read_date(F.col(column), i).isNotNull(), F.col("_n")).otherwise(0)).alias(f"n{i}")
              for i in range(len(tx.DATE_FORMATS))]
     counts = texts.groupBy("dataset_id").agg(*reads)
@@ -162,7 +171,11 @@ def date_notation(lines: DataFrame, column: str) -> DataFrame:
 
 
 def read_dates(lines: DataFrame, mapping: Mapping) -> DataFrame:
-    """Date columns as wall-clock timestamps; texts that do not fit stay in `<column>_rejected`."""
+    """Date columns as wall-clock timestamps; texts that do not fit stay in `<column>_rejected`.
+
+    The vote is written first, one row a dataset: its size is then known to the planner, which needn't
+    shuffle the lines to join it where it is small.
+    """
     for target in DATE_TARGETS:
         c = column_of(target)
         if c not in lines.columns:
@@ -171,8 +184,7 @@ def read_dates(lines: DataFrame, mapping: Mapping) -> DataFrame:
             value = tx.read_date(F.col(c), mapping.date_format)
             lines = lines.withColumn("_date", value)
         else:
-            notation = date_notation(lines, c)
-            lines = lookup_join(lines, notation, ["dataset_id"])
+            lines = lookup_join(lines, cut(date_notation(lines, c)), ["dataset_id"])
             value = F.lit(None).cast("timestamp_ntz")
             for i in reversed(range(len(tx.DATE_FORMATS))):
                 value = F.when(F.col("_notation") == i, tx.read_date(F.col(c), i)).otherwise(value)
@@ -190,7 +202,9 @@ def with_line_money(lines: DataFrame) -> DataFrame:
     price = first_present(lines, *PRICE)
     cost = first_present(lines, *COST)
     null = F.lit(None).cast("double")
-    if qty and price:
+    if "_priced" in lines.columns:
+        revenue = F.when(F.col("_priced"), F.col(qty) * F.col(price)).otherwise(F.col("revenue"))
+    elif qty and price:
         revenue = F.col(qty) * F.col(price)
     elif "revenue" in lines.columns:
         revenue = F.col("revenue")

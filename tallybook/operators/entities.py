@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.operators.cleaning import PRICE, QUANTITY, Mapping, first_present
+from tallybook.functions import text as tx
+from tallybook.operators.cleaning import (
+    CUSTOMER_KEY, ORDER_DATE, PRICE, PRODUCT_KEY, QUANTITY, Mapping, column_of, first_present)
 from tallybook.operators.mapping_report import coverage_of_targets
 
 
@@ -30,8 +32,10 @@ def _empty(df: DataFrame) -> DataFrame:
 
 
 def products(lines: DataFrame) -> DataFrame:
-    key = first_present(lines, "product_id", "product.name")
-    by_id = key == "product_id"
+    key = first_present(lines, *PRODUCT_KEY)
+    by_id = F.lit(key == "product_id")
+    if "_product_kind" in lines.columns:
+        by_id = F.max(F.col("_product_kind") == "product_id")
     source = lines.filter(F.col(key).isNotNull()) if key else \
         _empty(lines.withColumn("product_id", F.lit(None).cast("string")))
     key = key or "product_id"
@@ -41,18 +45,18 @@ def products(lines: DataFrame) -> DataFrame:
         _first_or_null(source, "product_cost", "double").alias("cost"),
         _first_or_null(source, "product_stock", "double").try_cast("long").alias("stock"),
         _first_or_null(source, "product_description", "string").alias("description"),
-        F.min("_ord").alias("_ord"),
+        F.min("_ord").alias("_ord"), by_id.alias("_by_id"),
     )
     return grouped.select(
         "dataset_id",
         F.coalesce("_name", "_key", F.lit("Unknown Product")).alias("name"),
-        (F.col("_key") if by_id else F.lit(None).cast("string")).alias("externalAccId"),
+        F.when(F.col("_by_id"), F.col("_key")).alias("externalAccId"),
         "price", "cost", "stock", "description", "_ord",
     )
 
 
 def customer_key(lines: DataFrame) -> str | None:
-    return first_present(lines, "customer_id", "customer.email", "customer.fullName")
+    return first_present(lines, *CUSTOMER_KEY)
 
 
 def customers(lines: DataFrame, notes: list[str] | None = None) -> DataFrame:
@@ -61,6 +65,9 @@ def customers(lines: DataFrame, notes: list[str] | None = None) -> DataFrame:
     source = lines.filter(F.col(key).isNotNull()) if key else \
         _empty(lines.withColumn("customer_id", F.lit(None).cast("string")))
     key = key or "customer_id"
+    kind = F.lit(next((t for t in CUSTOMER_KEY if column_of(t) == key), None)).cast("string")
+    if "_customer_kind" in lines.columns:
+        kind = F.max("_customer_kind")
     note_cols = [first_value(F.col("_notes")[n]).alias(f"_note{i}")
                  for i, n in enumerate(notes or [])]
     grouped = source.groupBy("dataset_id", F.col(key).alias("_key")).agg(
@@ -68,20 +75,19 @@ def customers(lines: DataFrame, notes: list[str] | None = None) -> DataFrame:
         _first_or_null(source, "customer_email", "string").alias("_email"),
         _first_or_null(source, "customer_phoneNumber", "string").alias("phoneNumber"),
         _first_or_null(source, "customer_segment", "string").alias("segment"),
-        F.min("_ord").alias("_ord"),
+        F.min("_ord").alias("_ord"), kind.alias("_kind"),
         *note_cols,
     )
-    none = F.lit(None).cast("string")
-    fallback = {"customer_id": F.concat(F.lit("Customer "), F.col("_key")),
-                "customer_fullName": F.col("_key")}.get(key, none)
+    is_id, is_email, is_name = (F.col("_kind") == t for t in CUSTOMER_KEY)
+    fallback = F.when(is_id, F.concat(F.lit("Customer "), F.col("_key"))).when(is_name, F.col("_key"))
     pairs = [x for i, n in enumerate(notes or []) for x in (F.lit(n), F.col(f"_note{i}"))]
     metadata = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else \
         F.create_map().cast("map<string,string>")
     return grouped.select(
         "dataset_id",
-        (F.col("_key") if key == "customer_id" else none).alias("clerkId"),
+        F.when(is_id, F.col("_key")).alias("clerkId"),
         F.coalesce("_name", fallback).alias("fullName"),
-        (F.col("_key") if key == "customer_email" else F.col("_email")).alias("email"),
+        F.when(is_email, F.col("_key")).otherwise(F.col("_email")).alias("email"),
         "phoneNumber", "segment", metadata.alias("metadata"), "_ord",
     )
 
@@ -98,15 +104,18 @@ def orders(lines: DataFrame, cost_pct: float | None = None,
         F.coalesce(F.sum("_line_revenue"), F.lit(0.0)).alias("revenue"),
         F.sum("_item_profit").alias("_items_profit"),
         _first_or_null(source, customer_key(source), "string").alias("customerExternalId"),
-        _first_or_null(source, first_present(source, "order_date", "order_item.createdAt"),
+        _first_or_null(source, first_present(source, *ORDER_DATE),
                        "timestamp_ntz").alias("createdAt"),
         _first_or_null(source, "order_status", "string").alias("_status"),
         _first_or_null(source, "order_address", "string").alias("address"),
         _first_or_null(source, "order_orderVoucher", "string").alias("orderVoucher"),
         F.min("_ord").alias("_ord"),
+        *([F.max("_cost_pct").alias("_cost_pct")] if "_cost_pct" in source.columns else []),
     )
     if profit_from == "items":
         profit = F.col("_items_profit")
+    elif "_cost_pct" in source.columns:
+        profit = F.bround(F.col("revenue") * (1 - F.col("_cost_pct")), 4)
     elif cost_pct is not None:
         profit = F.bround(F.col("revenue") * F.lit(1 - cost_pct), 4)
     else:
@@ -161,7 +170,7 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
             reasons.append(F.when(bad.isNotNull(), F.concat(F.lit(f"{c}: not a date: "), bad)))
     qty = first_present(lines, *QUANTITY)
     if qty:
-        reasons.append(F.when(F.abs(qty) >= LONG_LIMIT, F.lit(f"{qty}: out of range")))
+        reasons.append(F.when(F.abs(qty) >= LONG_LIMIT, F.lit(f"{qty.lstrip('_')}: out of range")))
     if not reasons:
         reasons = [F.lit(None).cast("string")]
     return lines.select(

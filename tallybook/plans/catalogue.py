@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallybook.plans import parsing, sales, segments
+from tallybook.plans import layouts, parsing, sales, segments
 
-MODULES = [sales, parsing, segments]
+MODULES = [sales, layouts, parsing, segments]
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
