@@ -7,7 +7,7 @@ filtered before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from tallybook.functions import text as tx
@@ -27,6 +27,23 @@ def _first_or_null(lines: DataFrame, column: str | None, kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
+EXACT = 1e15  # amounts below it are summed in decimals, so a sum doesn't depend on the order of its rows
+
+
+def exact_sum(c: str) -> Column:
+    """Sum of amounts, to a millionth; null where none is known."""
+    small = F.abs(F.col(c)) < EXACT
+    exact = F.sum(F.when(small, F.col(c).cast("decimal(22,6)"))).cast("double")
+    rest = F.sum(F.when(~small, F.col(c)))
+    return F.coalesce(exact + rest, exact, rest)
+
+
+def keyed(lines: DataFrame, key: str) -> GroupedData:
+    """Lines by dataset and key. Texts among the aggregates make Spark sort by the key; led by its hash, that
+    compares numbers instead of texts that all begin alike."""
+    return lines.groupBy(F.xxhash64("dataset_id", key).alias("_hash"), "dataset_id", F.col(key).alias("_key"))
+
+
 def _empty(df: DataFrame) -> DataFrame:
     return df.limit(0)
 
@@ -39,7 +56,7 @@ def products(lines: DataFrame) -> DataFrame:
     source = lines.filter(F.col(key).isNotNull()) if key else \
         _empty(lines.withColumn("product_id", F.lit(None).cast("string")))
     key = key or "product_id"
-    grouped = source.groupBy("dataset_id", F.col(key).alias("_key")).agg(
+    grouped = keyed(source, key).agg(
         _first_or_null(source, "product_name", "string").alias("_name"),
         _first_or_null(source, "product_price", "double").alias("price"),
         _first_or_null(source, "product_cost", "double").alias("cost"),
@@ -70,7 +87,7 @@ def customers(lines: DataFrame, notes: list[str] | None = None) -> DataFrame:
         kind = F.max("_customer_kind")
     note_cols = [first_value(F.col("_notes")[n]).alias(f"_note{i}")
                  for i, n in enumerate(notes or [])]
-    grouped = source.groupBy("dataset_id", F.col(key).alias("_key")).agg(
+    grouped = keyed(source, key).agg(
         _first_or_null(source, "customer_fullName", "string").alias("_name"),
         _first_or_null(source, "customer_email", "string").alias("_email"),
         _first_or_null(source, "customer_phoneNumber", "string").alias("phoneNumber"),
@@ -100,9 +117,9 @@ def orders(lines: DataFrame, cost_pct: float | None = None,
     """
     source = lines if "order_id" in lines.columns else \
         _empty(lines.withColumn("order_id", F.lit(None).cast("string")))
-    grouped = source.filter(F.col("order_id").isNotNull()).groupBy("dataset_id", "order_id").agg(
-        F.coalesce(F.sum("_line_revenue"), F.lit(0.0)).alias("revenue"),
-        F.sum("_item_profit").alias("_items_profit"),
+    grouped = keyed(source.filter(F.col("order_id").isNotNull()), "order_id").agg(
+        F.coalesce(exact_sum("_line_revenue"), F.lit(0.0)).alias("revenue"),
+        exact_sum("_item_profit").alias("_items_profit"),
         _first_or_null(source, customer_key(source), "string").alias("customerExternalId"),
         _first_or_null(source, first_present(source, *ORDER_DATE),
                        "timestamp_ntz").alias("createdAt"),
@@ -122,7 +139,7 @@ def orders(lines: DataFrame, cost_pct: float | None = None,
         profit = F.lit(None).cast("double")
     margin = F.when(F.col("revenue") != 0, F.bround(profit / F.col("revenue") * 100, 2))
     return grouped.select(
-        "dataset_id", F.col("order_id").alias("externalOrderId"), "customerExternalId",
+        "dataset_id", F.col("_key").alias("externalOrderId"), "customerExternalId",
         F.coalesce("_status", F.lit("completed")).alias("status"),
         F.col("revenue").alias("total"), "revenue", profit.alias("profit"),
         margin.alias("profit_margin"), "createdAt", "address", "orderVoucher", "_ord",

@@ -68,9 +68,12 @@ FROM (
 ) AS priced
 """
 
-# Line order: the columns that tell two lines of the supplied table apart.
-ORDER_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-                 "l_extendedprice", "l_discount", "l_returnflag"]
+# A line's place in its export; no two lines of the supplied table share all four numbers.
+PART_BITS, SUPPLIER_BITS = 21, 14
+POSITION = (f"((l_orderkey * 8 + l_linenumber) * {1 << PART_BITS} + l_partkey) * {1 << SUPPLIER_BITS}"
+            " + l_suppkey")
+# The same order, column by column.
+ORDER_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 RAW_COLUMNS = ["InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice",
                "UnitCost", "Stock", "CustomerID", "CustomerName", "Email", "Status", "Size",
@@ -102,10 +105,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal a table of fewer files than cores over all cores; a table of many files is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+def order_number(position):
+    return F.shiftright(position, 3 + PART_BITS + SUPPLIER_BITS)
+
+
+def part_number(position):
+    return F.shiftright(position, SUPPLIER_BITS).bitwiseAND((1 << PART_BITS) - 1)
 
 
 def extract(spark: SparkSession, sf_dir: str, dataset: str = "nation") -> DataFrame:
@@ -118,12 +123,13 @@ def extract(spark: SparkSession, sf_dir: str, dataset: str = "nation") -> DataFr
         "dataset": DATASETS[dataset],
     }
     tables = {t: table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "part")}
-    tables["lineitem"] = spread(tables["lineitem"], "l_orderkey", "l_linenumber")
+    # Dealt by its keys: a line becomes several texts, so the work doesn't follow the files' sizes.
+    tables["lineitem"] = tables["lineitem"].repartition("l_orderkey", "l_linenumber")
     sql = EXTRACT_SQL
     for k, v in dialect.items():
         sql = sql.replace("{" + k + "}", v)
     raw = spark.sql(sql, **tables)
-    return raw.select("dataset_id", F.struct(*ORDER_COLUMNS).alias("_ord"), *RAW_COLUMNS)
+    return raw.select("dataset_id", F.expr(POSITION).alias("_ord"), *RAW_COLUMNS)
 
 
 def oracle_extract(dataset: str = "nation") -> str:

@@ -37,13 +37,10 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         cells = F.when(which == i, F.array(*columns)).otherwise(cells)
         names = F.when(which == i, F.array(*map(F.lit, columns))).otherwise(names)
     body = raw.select("dataset_id", "_ord", cells.alias("cells"))
-    kind = raw.schema["_ord"].dataType.simpleString()
     datasets = raw.select("dataset_id").distinct()
-    above = lambda n: F.named_struct(*[
-        x for f in raw.schema["_ord"].dataType.fields
-        for x in (F.lit(f.name), F.lit(n if f.name == "l_orderkey" else None).cast(f.dataType))]).cast(kind)
-    heads = datasets.select("dataset_id", above(-1).alias("_ord"), names.alias("cells"))
-    titles = datasets.where(which == 1).select("dataset_id", above(-2).alias("_ord"), F.array(F.lit("Sales")).alias("cells"))
+    above = lambda n: F.lit(n).cast("long").alias("_ord")
+    heads = datasets.select("dataset_id", above(-1), names.alias("cells"))
+    titles = datasets.where(which == 1).select("dataset_id", above(-2), F.array(F.lit("Sales")).alias("cells"))
     cells = cut(body.unionByName(heads).unionByName(titles))
     rows = []
     for i, columns in enumerate(LAYOUTS):
@@ -67,7 +64,7 @@ def clean_mixed_layouts(spark, sf_dir):
     """Orders of all files."""
     return en.orders(_lines(spark, sf_dir)).select(
         "dataset_id", "externalOrderId", "customerExternalId", "status", money("revenue"),
-        F.round("profit", 2).alias("profit"), "profit_margin", en.tx.iso_seconds(F.col("createdAt")).alias("created_at"))
+        money("profit"), "profit_margin", en.tx.iso_seconds(F.col("createdAt")).alias("created_at"))
 
 
 def mixed_entities(spark, sf_dir):
@@ -129,10 +126,10 @@ _PROFIT = "round_even(revenue * (1 - CASE l WHEN 0 THEN 0.4::DOUBLE WHEN 1 THEN
 
 ORACLES = {
     "clean_mixed_layouts": _BASE + f""",
-o AS (SELECT dataset_id, l, order_id, coalesce(sum(revenue), 0.0) AS revenue, {_FIRST.format('customer')} AS customer,
+o AS (SELECT dataset_id, l, order_id, coalesce(sum(revenue::DECIMAL(22,6))::DOUBLE, 0.0) AS revenue, {_FIRST.format('customer')} AS customer,
   {_FIRST.format('date')} AS date, {_FIRST.format('status')} AS status FROM kept WHERE order_id IS NOT NULL GROUP BY 1, 2, 3)
 SELECT dataset_id, order_id AS externalOrderId, customer AS customerExternalId, status, round(revenue, 4) AS revenue,
-  round({_PROFIT}, 2) AS profit, CASE WHEN revenue <> 0 THEN round_even({_PROFIT} / revenue * 100, 2) END AS profit_margin,
+  round({_PROFIT}, 4) AS profit, CASE WHEN revenue <> 0 THEN round_even({_PROFIT} / revenue * 100, 2) END AS profit_margin,
   strftime(date, '%Y-%m-%dT%H:%M:%S') AS created_at FROM o""",
     "mixed_entities": _BASE + f"""
 SELECT dataset_id, 'product' AS entity, CASE WHEN l < 2 THEN product END AS key,

@@ -72,7 +72,7 @@ def upload_lines(spark, sf_dir):
 
 
 # Every third line's description runs over several lines, with commas and quotes in it.
-_LONG_TEXT = """CASE WHEN _ord.l_orderkey % 3 = 0
+_LONG_TEXT = """CASE WHEN shiftright(_ord, 38) % 3 = 0
   THEN concat(trim(Description), ', ""new""\\n\\n', Channel, '\\n,end') ELSE Description END"""
 
 

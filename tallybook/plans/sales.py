@@ -9,7 +9,7 @@ from tallybook.operators import cleaning as cl
 from tallybook.operators import entities as en
 from tallybook.operators import loading as ld
 from tallybook.operators.training import training_table
-from tallybook.plans.extract import MAPPING, extract, oracle_extract
+from tallybook.plans.extract import MAPPING, extract, oracle_extract, order_number, part_number
 from tallybook.registry import TRAINING_COLUMNS
 from tallybook.session import cut, fresh_path
 from tallybook.sources import stores
@@ -117,8 +117,8 @@ def orders_item_profit(spark, sf_dir):
 def rejected_lines(spark, sf_dir):
     lines = _lines(spark, sf_dir, dates=True)
     return en.rejected_lines(lines).select(
-        "dataset_id", F.col("_ord.l_orderkey").alias("orderkey"),
-        F.col("_ord.l_partkey").alias("partkey"), "reason")
+        "dataset_id", order_number(F.col("_ord")).alias("orderkey"),
+        part_number(F.col("_ord")).alias("partkey"), "reason")
 
 
 def clean_summary(spark, sf_dir):
@@ -318,7 +318,7 @@ c AS MATERIALIZED (
   FROM (SELECT dataset_id, customer_id, {_first('full_name', 'n')}, {_first('email')}, min(ord) AS o
         FROM kept WHERE customer_id IS NOT NULL GROUP BY ALL)),
 o AS MATERIALIZED (
-  SELECT dataset_id, order_id, coalesce(sum(revenue), 0.0) AS revenue, sum(profit) AS items_profit,
+  SELECT dataset_id, order_id, coalesce(sum(revenue::DECIMAL(22,6))::DOUBLE, 0.0) AS revenue, sum(profit::DECIMAL(22,6))::DOUBLE AS items_profit,
     {_first('customer_id')}, {_first('order_date')}, {_first('status')}, min(ord) AS ord
   FROM kept WHERE order_id IS NOT NULL GROUP BY dataset_id, order_id),
 i AS MATERIALIZED (
