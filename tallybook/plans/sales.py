@@ -217,6 +217,27 @@ def load_roundtrip(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+def load_unnumbered(spark, sf_dir):
+    """Two uploads of each business, every fifth order marked `none` in both, loaded one after the other, and
+    the first once more."""
+    number = order_number(F.col("_ord"))
+    raw = extract(spark, sf_dir).withColumns({
+        "InvoiceNo": F.when(number % 5 == 0, F.lit("none")).otherwise(F.col("InvoiceNo")),
+        "Email": F.lit(None).cast("string"), "_upload": (number % 2).cast("string")})
+    lines = [cut(cl.clean_lines(raw.filter(F.col("_upload") == u).drop("_upload"), MAPPING)) for u in ("0", "1")]
+    root = fresh_path(spark, "store")
+    for u in (0, 1, 0):
+        batch = {
+            "customers": _business(en.customers(lines[u])), "products": _business(en.products(lines[u])),
+            "orders": _business(en.orders(lines[u], MAPPING.cost_pct)).withColumn("upload_id", F.lit(str(u))),
+            "order_items": _business(en.order_items(lines[u])),
+        }
+        stores.append_load(ld.plan_load(batch, stores.read_store(spark, root), F.lit(RUN_TS).cast("timestamp_ntz")), root)
+    return stores.read_store(spark, root)["order"].groupBy("business_id").agg(
+        F.count(F.lit(1)).alias("orders"), F.count_distinct("id").alias("ids"),
+        F.round(F.sum(F.col("total").cast("decimal(22,6)")), 2).cast("double").alias("total"))
+
+
 def _training(spark, sf_dir) -> DataFrame:
     lines = cut(_lines(spark, sf_dir, dates=True))
     return training_table(en.products(lines), en.orders(lines, MAPPING.cost_pct), en.order_items(lines))
@@ -253,7 +274,8 @@ QUERIES = {
     "new_customers": new_customers, "new_products": new_products,
     "resolve_orders": resolve_orders, "resolve_items": resolve_items,
     "load_quarantine": load_quarantine, "load_stats": load_stats,
-    "load_roundtrip": load_roundtrip, "training_table": training, "export_roundtrip": export_roundtrip,
+    "load_roundtrip": load_roundtrip, "load_unnumbered": load_unnumbered,
+    "training_table": training, "export_roundtrip": export_roundtrip,
 }
 
 
@@ -483,6 +505,15 @@ UNION ALL SELECT business_id, 'order', count(*), count(*) FROM ro WHERE customer
   GROUP BY 1
 UNION ALL SELECT business_id, 'order_item', count(*), count(*) FROM ri WHERE product_id IS NOT NULL
   GROUP BY 1""",
+    "load_unnumbered": f"""WITH export AS MATERIALIZED (
+  SELECT * REPLACE (CASE WHEN l_orderkey % 5 = 0 THEN 'none' ELSE InvoiceNo END AS InvoiceNo) FROM ({oracle_extract()})),
+o AS (
+  SELECT dataset_id, l_orderkey % 2 AS upload, {_id('InvoiceNo')} AS order_id, count({_id('CustomerID')}) AS customers,
+    coalesce(sum(({_amount('Quantity')} * {_amount('UnitPrice')})::DECIMAL(22,6)), 0) AS total
+  FROM export WHERE NOT starts_with(InvoiceNo, 'C') AND NOT coalesce({_amount('Quantity')} < 0, false)
+  GROUP BY ALL)
+SELECT dataset_id AS business_id, count(*) AS orders, count(*) AS ids, round(sum(total), 2)::DOUBLE AS total
+FROM o WHERE order_id IS NOT NULL AND customers > 0 GROUP BY 1""",
     "training_table": ENTITIES + """,
 by_name AS (SELECT dataset_id, name, max_by(struct_pack(c := cost, s := stock), ord) AS r
   FROM p GROUP BY ALL)
