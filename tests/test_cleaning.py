@@ -241,6 +241,23 @@ def test_orders_marked_as_unnumbered_keep_their_own_ids(spark):
     assert got.select("id").distinct().count() == 3
 
 
+def test_uploads_tell_unnumbered_orders_apart(spark):
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    keys = spark.createDataFrame([("b", "1", "c1")], "business_id string, _key string, _id string")
+    batch = orders_of(spark, ["none", "o1"])
+    ids = [{r.id for r in ld.resolve_orders(batch.withColumn("upload_id", F.lit(u)), keys, now).collect()} for u in "aba"]
+    assert ids[0] == ids[2] and len(ids[0] & ids[1]) == 1 and len(ids[0] | ids[1]) == 3
+
+
+def test_a_load_reads_only_the_businesses_of_its_batch(spark, tmp_path):
+    rows = [(f"id{i}", f"b{i}", None, None, f"n{i}", None, None) for i in range(20)]
+    stores.append_rows(spark.createDataFrame(rows, ld.STORED["customer"]), str(tmp_path), "customer")
+    batch = {"customers": spark.createDataFrame([("b3",), ("b7",), ("new",)], "business_id string")}
+    found = ld.touched(batch, {"customer": stores.read_table(spark, str(tmp_path), "customer")})["customer"]
+    assert {r.business_id for r in found.collect()} == {"b3", "b7"}
+    assert "dynamicpruningexpression" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_cluster_without_shared_folder_is_refused():
     class Context:
         master = "spark://host:7077"
