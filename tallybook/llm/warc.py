@@ -22,6 +22,7 @@ Tasks open the shared folder through `pyarrow.fs`, which knows local and mounted
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import uuid
 from collections.abc import Iterator
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from tallybook.llm.common import text_slices, utf8
 from tallybook.session import cut, fresh_path
 
+READ_BYTES = 16 << 20   # plain bytes that a reading task is to expand, about
 LEAST_REVISIT = 100
 FRAME = 256 << 10     # plain bytes after which a frame is closed
 BUNDLE = 256 << 20    # compressed bytes after which a bundle is closed
@@ -223,8 +225,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(manifest: DataFrame, id_type: str = "long") -> DataFrame:
     """Every record of the bundles: record_id, page_id, url, payload_bytes, payload_digest, record_type,
-    refers_to, payload (null for revisits). Frames are dealt over tasks; each is opened once."""
-    frames = manifest.select("bundle", "frame_offset", "frame_bytes", "plain_bytes").distinct()
-    rows = frames.mapInArrow(_read, "record_id string, page_id string, url string, payload_bytes long, "
+    refers_to, payload (null for revisits). Each frame is opened once. Frames are dealt over as many tasks as
+    their bytes need: their rows are tiny, so left to itself Spark would merge them into one task."""
+    frames = cut(manifest.select("bundle", "frame_offset", "frame_bytes", "plain_bytes").distinct())
+    total = frames.agg(F.sum("plain_bytes").alias("n")).first()["n"] or 0
+    tasks = max(1, math.ceil(total / READ_BYTES))
+    rows = frames.repartition(tasks, "bundle", "frame_offset").mapInArrow(_read, "record_id string, page_id string, url string, payload_bytes long, "
                                     "payload_digest string, record_type string, refers_to string, payload binary")
     return rows.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})

@@ -130,3 +130,13 @@ def test_warc_round_trip(spark, monkeypatch):
     assert whole.startswith(b"WARC/1.1\r\n")
     assert os.path.isdir(folder.removeprefix("file://"))
     assert warc.read(warc.write(df.where("false"))).count() == 0
+
+
+def test_reading_tasks_follow_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FRAME", 2000)
+    monkeypatch.setattr(warc, "READ_BYTES", 10_000)
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.lit("http://x/").alias("url"), F.repeat(
+        F.concat(F.lit("text "), F.col("id").cast("string")), 300).alias("html"))
+    back = warc.read(warc.write(pages))
+    assert back.rdd.getNumPartitions() >= 8
+    assert sorted(r.page_id for r in back.collect()) == list(range(60))
