@@ -86,7 +86,10 @@ def impute_scale(spark, sf_dir):
 
 def yeo_johnson(spark, sf_dir):
     rows = cut(sg.log_features(sg.impute(cut(_sparse_features(spark, sf_dir)))))
-    return sg.power_parameters(rows, sg.TRANSFORMED)
+    got = sg.power_parameters(rows, sg.TRANSFORMED)
+    # Scales differ by tens of powers of ten, so their logarithms are compared.
+    return got.select("business_id", "name", F.round("lam", 3).alias("lam"),
+                      F.round(F.log1p(F.abs("mean")), 6).alias("log_mean"), F.round(F.ln("std"), 6).alias("log_std"))
 
 
 def product_segments(spark, sf_dir):
@@ -284,6 +287,39 @@ def _robust(c: str, clip: bool = False) -> str:
             f"CASE WHEN {iqr} = 0 THEN 1.0 ELSE {iqr} END, 6) AS {c}")
 
 
+def _likelihood_sql(round_: int, grid: str) -> str:
+    """One round of the search: the best lambda of each business and column among those of `grid`."""
+    return f""",
+t{round_} AS (SELECT business_id, name, lam, any_value(step) AS step, avg(y) AS m, var_pop(z) AS v,
+    count(*) AS n, any_value(j) AS j
+  FROM (SELECT *, CASE WHEN signs OR p = 0 THEN y ELSE pow(1 + x, p) / p END AS z FROM (
+    SELECT *, sign(x) * CASE WHEN p = 0 THEN ln(1 + abs(x)) ELSE (pow(1 + abs(x), p) - 1) / p END AS y
+    FROM (SELECT business_id, name, x, j, signs, lam, step, CASE WHEN x >= 0 THEN lam ELSE 2 - lam END AS p
+      FROM u JOIN {grid}))) GROUP BY business_id, name, lam),
+b{round_} AS MATERIALIZED (SELECT business_id, name, unnest(arg_max({{lam: lam, step: step, m: m, v: v}},
+    (CASE WHEN v > 1e-20 * m * m AND v > 0 THEN -n / 2 * ln(v) + (lam - 1) * j ELSE -1e308 END, -abs(lam - 1), lam)))
+  FROM t{round_} GROUP BY business_id, name)"""
+
+
+def _power_sql() -> str:
+    steps = [max(abs(v - w) for w in sg.LAMBDAS[max(i - 1, 0):i + 2]) for i, v in enumerate(sg.LAMBDAS)]
+    first = "(VALUES " + ", ".join(f"({v}::DOUBLE, {s}::DOUBLE)" for v, s in zip(sg.LAMBDAS, steps)) + ") g(lam, step) ON true"
+    nearer = ("(SELECT business_id AS bb, name AS bn, lam + step * (i / 20) AS lam, step / 20 AS step FROM b{0}, "
+              "range(-20, 21) r(i)) g ON bb = business_id AND bn = name")
+    sql = _IMPUTED + """,
+u AS MATERIALIZED (SELECT *, sum(sign(x) * ln(1 + abs(x))) OVER w AS j, bool_or(x < 0) OVER w AS signs FROM (
+  SELECT business_id, 'absolute_margin_log' AS name, sign(absolute_margin) * ln(1 + abs(absolute_margin)) AS x FROM imputed
+  UNION ALL SELECT business_id, 'quantity_log', ln(1 + quantity) FROM imputed
+  UNION ALL SELECT business_id, 'profit_margin', profit_margin FROM imputed
+  UNION ALL SELECT business_id, 'stock_turnover', stock_turnover FROM imputed)
+  WINDOW w AS (PARTITION BY business_id, name))"""
+    for i in range(sg.ROUNDS + 1):
+        sql += _likelihood_sql(i, first if i == 0 else nearer.format(i - 1))
+    return sql + f"""
+SELECT business_id, name, round(lam, 3) AS lam, round(ln(1 + abs(m)), 6) AS log_mean,
+  round(ln(CASE WHEN v > 1e-20 * m * m THEN sqrt(v) ELSE 1.0 END), 6) AS log_std FROM b{sg.ROUNDS}"""
+
+
 _ACTIVITY = f"""WITH runs AS (
   SELECT n_nationkey AS b,
     CASE WHEN n_nationkey > 3 THEN TIMESTAMP '{NOW}' - to_hours(12 * n_nationkey) END AS last_run
@@ -350,6 +386,7 @@ logged AS (SELECT business_id, product_id, profit_margin, stock_turnover,
 SELECT business_id, product_id, {_robust("absolute_margin_log")}, {_robust("quantity_log", True)},
   {_robust("profit_margin")}, {_robust("stock_turnover")}
 FROM logged WINDOW b AS (PARTITION BY business_id)""",
+    "yeo_johnson": _power_sql(),
     "cluster_summary": _CLUSTERED + """,
 s AS (SELECT business_id, cluster, cluster_name, count(*) AS num_products,
   round_even(round(avg(profit), 8), 2) AS avg_profit, round_even(round(sum(profit), 8), 2) AS total_profit,
