@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tallybook.operators import history as hi
 from tallybook.operators import refresh as rf
+from tallybook.operators import runs as rn
 from tallybook.operators.clusters import segment_products
 from tallybook.operators import segmentation as sg
 from tallybook.plans.extract import table
 from tallybook.session import cut, fresh_path
+from tallybook.sources import journal as jn
 from tallybook.sources import stores
 
 NOW = "2002-01-05 12:00:00"
@@ -151,6 +153,64 @@ def segment_replace(spark, sf_dir):
         .join(runs, "business_id")
 
 
+# A run as a whole: brands, products without a usable cost and a few others are the businesses.
+RUN_BUSINESS = ("CASE WHEN p_partkey % 47 = 5 THEN 'unpriced' WHEN p_partkey % 400 = 0 THEN 'few' "
+                "ELSE cast(p_brand AS {0}) END")
+
+
+def _fixed_fit(facts: DataFrame) -> dict[str, DataFrame]:
+    """Clusters by the last digit of the product id, for a first run that later ones replace."""
+    rows = facts.withColumn("cluster", (F.col("product_id").cast("long") % 4).cast("int")) \
+        .withColumn("cluster_name", F.concat(F.lit("digit "), F.col("cluster").cast("string")))
+    models = facts.groupBy("business_id").agg(
+        F.lit("fixed").alias("model"), F.lit(4).alias("k"), F.lit(1.0).alias("silhouette"))
+    summary = sg.cluster_summary(rows).join(sg.top_and_bottom(rows), ["business_id", "cluster"])
+    return {"gate": sg.gate(facts), "models": models, "labels": rows, "summary": summary}
+
+
+def segment_run(spark, sf_dir):
+    """Brands 1 to 3 of each ten were segmented two days ago. Since then those with a 2 had sales and those with a 3
+    changed products, so a run replaces theirs and segments all other brands; those with a 1 keep what they have."""
+    root, now = fresh_path(spark, "runs"), F.lit(NOW).cast("timestamp_ntz")
+    earlier = now - F.expr("interval 2 days")
+    brand = F.col("business_id")
+    products = cut(_products(spark, sf_dir, RUN_BUSINESS.format("string")).withColumn("updated_at", F.when(
+        brand.endswith("3"), now).otherwise(F.col("updated_at"))))
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string")).alias("business_id"),
+        F.col("o_orderdate").alias("created_at"))
+    orders = orders.withColumn("created_at", F.when(brand.endswith("2"), now).otherwise(F.col("created_at")))
+    items = _items(spark, sf_dir)
+    facts = cut(sg.product_facts(products, items))
+    businesses = products.select("business_id").distinct()
+    first = businesses.filter(F.substring("business_id", -1, 1).isin("1", "2", "3")).withColumn("should_run", F.lit(True))
+    rn.run_segmentation(spark, root, "first", first, facts, earlier, "upload", _fixed_fit)
+    activity = rf.business_activity(businesses, products, orders, items, jn.committed_marks(spark, root))
+    rn.run_segmentation(spark, root, "second", rf.decide(activity, now), facts, now)
+
+    rows = jn.read_committed(spark, root, "product_segment", rn.SEGMENTS).groupBy("business_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("product_id").alias("products"),
+        F.count_distinct("cluster").cast("int").alias("_k"))
+    summaries = jn.read_committed(spark, root, "product_cluster_summary", "business_id string, cluster int") \
+        .groupBy("business_id").agg(F.count(F.lit(1)).cast("int").alias("_summaries"))
+    records = hi.run_states(jn.events(spark, root, hi.EVENT_SCHEMA), order="step")
+    latest = records.groupBy("business_id").agg(F.max_by(F.struct(
+        "status", "triggered_by", "detail", "result_meta", "progress"), "finished_at").alias("r"))
+    field = lambda name: F.get_json_object("r.result_meta", f"$.{name}")
+    says = F.concat(F.lit("Found "), field("best_k"), F.lit(" segments using "), field("model_used"),
+                    F.lit(" (silhouette "), field("silhouette_score"), F.lit(")"))
+    whole = (F.col("_k") == field("best_k").cast("int")) & (F.col("_k") == F.col("_summaries")) & (F.col("r.detail") == says)
+    out = jn.read_step(spark, root, "run_decision", "second").join(jn.committed_marks(spark, root), "business_id", "left")
+    for part in (rows, summaries, latest):
+        out = out.join(part, "business_id", "left")
+    return out.select(
+        "business_id", "should_run", "reason", "run_id", F.col("finished_at").alias("last_run"), "rows", "products",
+        F.col("r.status").alias("status"), F.col("r.triggered_by").alias("triggered_by"),
+        F.when(F.col("r.status") == "skipped", F.col("r.detail")).alias("skip_detail"),
+        field("total_rows").cast("long").alias("total_rows"), whole.alias("consistent"))
+
+
 # Refresh: customers' nations are the businesses, customers their products.
 
 def _activity(spark, sf_dir) -> DataFrame:
@@ -228,7 +288,7 @@ QUERIES = {
     "cluster_summary": cluster_summary, "cluster_top_bottom": cluster_top_bottom,
     "name_clusters": name_clusters, "product_segments": product_segments,
     "segment_summary": segment_summary, "segment_replace": segment_replace,
-    "refresh_decisions": refresh_decisions, "refresh_forced": refresh_forced,
+    "segment_run": segment_run, "refresh_decisions": refresh_decisions, "refresh_forced": refresh_forced,
     "run_history": run_history, "run_history_active": run_history_active,
     "run_history_one": run_history_one,
 }
@@ -429,6 +489,27 @@ SELECT p_brand AS business_id,
   count(*) AS rows, count(*) AS products,
   TIMESTAMP '{NOW}' + CASE WHEN p_brand LIKE '%1' THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END
     AS last_run FROM part GROUP BY ALL""",
+    "segment_run": f"""
+WITH p AS (SELECT *, {RUN_BUSINESS.format("VARCHAR")} AS b FROM part),
+n AS (SELECT b, count(*) AS n, count(*) FILTER (p_partkey % 47 <> 5 OR p_partkey % 3 = 0) AS usable,
+  CASE WHEN right(b, 1) IN ('1', '2', '3') THEN TIMESTAMP '{NOW}' - INTERVAL 2 DAY END AS earlier FROM p GROUP BY b),
+s AS (SELECT 'Brand#' || (o_custkey % 25 + 1) AS b, count(*) FILTER (right('Brand#' || (o_custkey % 25 + 1), 1) = '2'
+    OR o_orderdate > TIMESTAMP '{NOW}' - INTERVAL 2 DAY) AS items
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
+r AS (SELECT n.*, CASE WHEN n < 15 THEN 'insufficient_products' WHEN earlier IS NULL THEN 'first_run'
+    WHEN coalesce(items, 0) >= 50 THEN 'new_sales' WHEN right(b, 1) = '3' AND n >= 5 THEN 'product_changes'
+    ELSE 'no_threshold_met' END AS reason FROM n LEFT JOIN s USING (b)),
+d AS (SELECT *, reason NOT IN ('insufficient_products', 'no_threshold_met') AS should_run,
+  should_run AND usable >= 15 AS fits, fits OR earlier IS NOT NULL AS has,
+  CASE WHEN fits THEN usable WHEN has THEN n END AS kept FROM r)
+SELECT b AS business_id, should_run, reason,
+  CASE WHEN fits THEN 'second' WHEN has THEN 'first' END AS run_id,
+  CASE WHEN fits THEN TIMESTAMP '{NOW}' ELSE earlier END AS last_run,
+  kept AS rows, kept AS products,
+  CASE WHEN has THEN 'done' WHEN should_run THEN 'skipped' END AS status,
+  CASE WHEN should_run THEN 'schedule' WHEN has THEN 'upload' END AS triggered_by,
+  CASE WHEN should_run AND NOT has THEN 'After cleaning, only ' || usable || ' products remain (need 15).' END AS skip_detail,
+  kept AS total_rows, CASE WHEN has THEN true END AS consistent FROM d""",
     "refresh_decisions": _ACTIVITY + f"""
 SELECT cast(b AS VARCHAR) AS business_id,
   products >= 15 AND (last_run IS NULL OR days > 7 OR items >= 50 OR changes >= 5) AS should_run,
