@@ -90,7 +90,7 @@ def yeo_johnson(spark, sf_dir):
     rows = cut(sg.log_features(sg.impute(cut(_sparse_features(spark, sf_dir)))))
     got = sg.power_parameters(rows, sg.TRANSFORMED)
     # Scales differ by tens of powers of ten, so their logarithms are compared.
-    return got.select("business_id", "name", F.round("lam", 3).alias("lam"),
+    return got.select("business_id", "name", F.round("lam", 7).alias("lam"),
                       F.round(F.log1p(F.abs("mean")), 6).alias("log_mean"), F.round(F.ln("std"), 6).alias("log_std"))
 
 
@@ -376,7 +376,7 @@ u AS MATERIALIZED (SELECT *, sum(sign(x) * ln(1 + abs(x))) OVER w AS j, bool_or(
     for i in range(sg.ROUNDS + 1):
         sql += _likelihood_sql(i, first if i == 0 else nearer.format(i - 1))
     return sql + f"""
-SELECT business_id, name, round(lam, 3) AS lam, round(ln(1 + abs(m)), 6) AS log_mean,
+SELECT business_id, name, round(lam, 7) AS lam, round(ln(1 + abs(m)), 6) AS log_mean,
   round(ln(CASE WHEN v > 1e-20 * m * m THEN sqrt(v) ELSE 1.0 END), 6) AS log_std FROM b{sg.ROUNDS}"""
 
 
