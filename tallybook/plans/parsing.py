@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from tallybook.functions import text as tx
 from tallybook.operators import matching as mt
 from tallybook.operators import profiling as pf
 from tallybook.operators.fills import forward_fill, upload_block
+from tallybook.plans import mapping_sql as sql
 from tallybook.plans.extract import RAW_COLUMNS, extract, oracle_extract, table
-from tallybook.registry import DENYLIST, METADATA_LABELS, REQUIRED_FIELDS
+from tallybook.registry import REQUIRED_FIELDS
 from tallybook.session import cut, fresh_path
 from tallybook.sources import uploads as up
 
@@ -186,6 +189,47 @@ def column_mapping(spark, sf_dir):
                 "group")
 
 
+def mapping_warnings(spark, sf_dir):
+    """What a person should know about the sales files of the parts, some with Arabic or conflicting headers."""
+    cells = _file_cells(spark, sf_dir, "part").withColumn("column", F.expr(_RENAMED.replace('"column"', "`column`")))
+    cells = cut(cells)
+    columns = cells.filter("value IS NOT NULL").select(*pf.COLUMN).distinct()
+    mapping = cut(mt.map_columns(columns, pf.signal_table(pf.profile(cells)), pf.cooccurrence(cells)))
+    headers = columns.select("dataset_id").distinct().withColumn("header_row", F.expr(_SKIPPED))
+    shown = F.struct("pos", F.concat("column", F.lit(">"), "mapped_to", F.lit(" "), "match_method").alias("text"))
+    report = mapping.groupBy("dataset_id").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(shown)), lambda c: c["text"]), ",").alias("mapping"))  # one entry a column
+    return mt.parse_warnings(mapping, mt.coverage(mapping), headers).join(report, "dataset_id") \
+        .select("dataset_id", F.array_join("warnings", "\n").alias("warnings"), "mapping")
+
+
+# Order dates in words and with points, which the usual shape misses; some can't be read, some are no dates at all.
+_WORDED = """CASE WHEN o_orderkey % 10 = 0 THEN '31 Feb 2001' WHEN o_custkey % 4 = 3 AND o_orderkey % 3 = 0 THEN 'later'
+  WHEN o_custkey % 4 = 0 THEN {short} WHEN o_custkey % 4 = 1 THEN {long} ELSE {points} END"""
+
+
+def worded_dates(spark, sf_dir):
+    """Date columns that only a full reading finds: each customer's order dates are a file's column."""
+    worded = _WORDED.format(short="date_format(o_orderdate, 'd MMM yyyy')", long="date_format(o_orderdate, 'MMMM d, yyyy')",
+                            points="date_format(o_orderdate, 'd.M.yyyy')")
+    cells = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("dataset_id"), F.lit(0).alias("pos"), F.lit("When").alias("column"),
+        F.col("o_orderkey").alias("_ord"), F.expr(worded).alias("value"))
+    found = cut(pf.profile(cells))
+    scores = pf.signal_table(found).filter(F.col("target") == "order_date")
+    return found.join(scores, pf.COLUMN, "left").select(
+        "dataset_id", "n", F.round("date", 6).alias("date"), F.round("date_read", 6).alias("date_read"), "score")
+
+
+def transliterate(spark, sf_dir):
+    """Names written in Arabic letters, as if they were column headers, and the texts that they are compared by."""
+    sources = [("part", "p_name"), ("customer", "c_name"), ("nation", "n_name"), ("events", "event_type")]
+    parts = [table(spark, sf_dir, t).select(
+        F.lit(t).alias("dataset_id"), F.translate(F.lower(c), *_ARABIC).alias("column")) for t, c in sources]
+    known = mt.normalised_columns(reduce(DataFrame.unionByName, parts))
+    return known.groupBy("dataset_id", "column", "arabic", "norm", "probe").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def cooccurrence(spark, sf_dir):
     """Price x quantity = amount, looked for in the sales of each part."""
     lines = table(spark, sf_dir, "lineitem").select(
@@ -261,6 +305,8 @@ QUERIES = {
     "header_normalise": header_normalise, "fuzzy_match": fuzzy_match,
     "column_profile": column_profile, "pattern_profile": pattern_profile,
     "signal_scores": signal_scores, "column_mapping": column_mapping,
+    "mapping_warnings": mapping_warnings, "transliterate": transliterate,
+    "worded_dates": worded_dates,
     "cooccurrence": cooccurrence, "sample_sizes": sample_sizes, "sample_values": sample_values,
     "conflicts": conflicts, "coverage": coverage, "forward_fill": forward_fills,
 }
@@ -278,13 +324,19 @@ files AS MATERIALIZED (
 
 _WORDS = ", ".join(f"'{w}'" for w in pf.STATUS_VOCABULARY)
 
-_SMALL = f"""WITH export AS MATERIALIZED ({oracle_extract()}),
-cells AS (UNPIVOT (SELECT dataset_id, {", ".join(PROFILED)} FROM export)
-  ON {", ".join(PROFILED)} INTO NAME "column" VALUE raw),
-known AS MATERIALIZED (
-  SELECT dataset_id, "column", trim(raw) AS v,
+def _file_oracle(dataset: str = "nation") -> str:
+    """`export`, and its cells with their places."""
+    return f"""export AS MATERIALIZED ({oracle_extract(dataset)}),
+file_cells AS (SELECT dataset_id, ord, list_position({PROFILED}, "column") - 1 AS pos, "column", raw FROM (
+  UNPIVOT (SELECT dataset_id, ord, {", ".join(PROFILED)} FROM export)
+  ON {", ".join(PROFILED)} INTO NAME "column" VALUE raw))"""
+
+
+# Figures of every column of `file_cells`.
+_PROF = f"""known AS MATERIALIZED (
+  SELECT dataset_id, ord, pos, "column", trim(raw) AS v,
     CASE WHEN regexp_full_match(trim(raw), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')
-      THEN cast(trim(raw) AS DOUBLE) END AS num FROM cells),
+      THEN cast(trim(raw) AS DOUBLE) END AS num FROM file_cells),
 prof AS MATERIALIZED (
   SELECT dataset_id, "column", count(*) AS n, count(num) AS n_num, min(num) AS mn, max(num) AS mx,
     quantile_cont(num, 0.5) AS med, coalesce(bool_and(num = round(num)), false) AS all_int,
@@ -303,6 +355,8 @@ prof AS MATERIALIZED (
     avg(regexp_matches(v, '(?i)[0-9]+.{{3,}}(st|street|rd|ave|blvd|road|شارع)')::INT) AS address
   FROM known GROUP BY ALL)"""
 
+_SMALL = f"WITH {_file_oracle()},\n{_PROF}"
+
 _GIVEN = ", ".join(f"'{t}'" for t in TARGETS)
 
 _CLAIMS = f"""WITH claims AS (
@@ -324,40 +378,8 @@ resolved AS MATERIALIZED (
     CASE WHEN claimed AND rk > 1 THEN "column" ELSE label END AS human_label,
     claimed AND rk > 1 AS lost FROM ranked)"""
 
-_FIELDS = list(REQUIRED_FIELDS)
-
-
-def _coverage_oracle() -> str:
-    has = ", ".join(
-        f"""max("column") FILTER (mapped_to = '{t}') AS {f}""" for f, t in REQUIRED_FIELDS.items())
-    rule = {
-        "revenue": "revenue IS NULL AND price IS NOT NULL AND quantity IS NOT NULL",
-        "profit": "profit IS NULL AND k_revenue AND cost IS NOT NULL",
-        "profit_margin": "profit_margin IS NULL AND k_profit AND k_revenue",
-        "cost": "cost IS NULL AND k_revenue AND k_profit",
-    }
-    needs = {"revenue": ("price", "quantity"), "profit": ("revenue", "cost"),
-             "profit_margin": ("profit", "revenue"), "cost": ("revenue", "profit")}
-    src = {f: " || '+' || ".join(f"coalesce({n}, '[derived:{n}]')" for n in ns)
-           for f, ns in needs.items()}
-    derived = ", ".join(f"CASE WHEN d_{f} THEN '{f}<' || {src[f]} END" for f in rule)
-    missing = ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in _FIELDS)
-    absent = ", ".join(f"CASE WHEN {f} IS NULL AND NOT {'d_' + f if f in rule else 'false'} THEN '{f}' END"
-                       for f in _FIELDS)
-    return _CLAIMS + f""",
-m AS (SELECT dataset_id, {has} FROM resolved GROUP BY 1),
-r AS (SELECT *, {rule['revenue']} AS d_revenue FROM m),
-k AS (SELECT *, revenue IS NOT NULL OR d_revenue AS k_revenue FROM r),
-p AS (SELECT *, {rule['profit']} AS d_profit FROM k),
-q AS (SELECT *, profit IS NOT NULL OR d_profit AS k_profit FROM p),
-d AS (SELECT *, {rule['profit_margin']} AS d_profit_margin, {rule['cost']} AS d_cost FROM q)
-SELECT dataset_id, concat_ws(',', {missing}) AS missing, concat_ws(',', {derived}) AS derived,
-  concat_ws(',', {absent}) AS absent,
-  10.0 * (10 - len(list_filter([{absent}], lambda x: x IS NOT NULL)))::DOUBLE AS ml_coverage_pct
-FROM d"""
-
-
-def _score_oracle() -> str:
+def _signals() -> str:
+    """Scores of the columns in `prof`, not rounded."""
     usual = "med BETWEEN 0.01 AND 10000"
     price = f"""CASE WHEN NOT all_int AND {usual}
       THEN greatest((CASE WHEN {usual} THEN 65 ELSE 0 END) + (CASE WHEN u > 0.3 THEN 10 ELSE 0 END), 80)
@@ -392,13 +414,30 @@ def _score_oracle() -> str:
         ("product.name", "pattern", "title > 0.4", "72"),
         ("order.address", "pattern", "address > 0.3", "80"),
     ]
-    return _SMALL + "\n" + "\nUNION ALL\n".join(
+    return "\nUNION ALL\n".join(
         f"""SELECT dataset_id, "column", '{t}' AS target, '{s}' AS signal,
-  round(cast({score} AS DOUBLE), 4) AS score FROM prof WHERE {test}""" for t, s, test, score in rules)
+  cast({score} AS DOUBLE) AS score FROM prof WHERE {test}""" for t, s, test, score in rules)
+
+
+_NORM = sql.norm("t")
+
+# Headers that depend on the file, shared by query and oracle: Arabic ones, and names that claim a taken target.
+_RENAMED = """CASE WHEN cast(substr(dataset_id, 2) AS int) % 2 = 0 AND "column" = 'Channel' THEN 'Order State'
+  WHEN cast(substr(dataset_id, 2) AS int) % 3 = 0 AND "column" = 'Status' THEN 'ستاتوس'
+  WHEN cast(substr(dataset_id, 2) AS int) % 5 = 0 AND "column" = 'Quantity' THEN 'الكمية'
+  WHEN cast(substr(dataset_id, 2) AS int) % 7 = 0 AND "column" = 'UnitCost' THEN 'Unit Prce'
+  WHEN cast(substr(dataset_id, 2) AS int) % 11 = 0 AND "column" = 'Stock' THEN 'Qty' ELSE "column" END"""
+_SKIPPED = "cast(substr(dataset_id, 2) AS int) % 3"
+_ARABIC = ("abcdefghijklmnopqrstuvwxyz", "ابثدعفغحيجكلمنوشقرستؤآخءئذ")
 
+# Columns of every file, also those without a value.
+_ALL_COLUMNS = f"""SELECT DISTINCT dataset_id, pos, "column" FROM export,
+  (SELECT unnest({PROFILED}) AS "column", unnest(range({len(PROFILED)})) AS pos)"""
 
-_NORM = r"regexp_replace(regexp_replace(lower(t), '[^a-z0-9\x{0600}-\x{06FF}]+', '_', 'g'), '^_+|_+$', '', 'g')"
-_DENIED = ", ".join(f"'{d}'" for d in DENYLIST)
+# The files as uploads give them: missing-value words are no cells.
+_UPLOADED = f"""{_file_oracle()},
+uploaded AS (SELECT dataset_id || '/{STAMP}-' || dataset_id || '-sales.csv' AS dataset_id, ord, pos, "column", raw
+  FROM file_cells WHERE raw NOT IN ('', 'nan', 'None', 'N/A', 'n/a'))"""
 
 ORACLES = {
     "upload_head": _CSV + """
@@ -447,7 +486,7 @@ FROM ranked QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC,
   UNION ALL SELECT 'customer', c_mktsegment FROM customer
   UNION ALL SELECT 'orders', o_orderpriority FROM orders
   UNION ALL SELECT 'events', event_type FROM events)
-SELECT d AS dataset_id, md5({_NORM}) AS norm, {_NORM} IN ({_DENIED}) AS denied,
+SELECT d AS dataset_id, md5({_NORM}) AS norm, {_NORM} IN ({sql.DENIED}) AS denied,
   count(*) AS rows, max(length({_NORM})) AS length FROM texts GROUP BY 1, 2, 3""",
     "column_profile": _SMALL + """
 SELECT dataset_id, "column", n, n_num, mn, mx, round(med, 6) AS med, all_int, round(u, 6) AS u, round(uq, 6) AS uq,
@@ -457,7 +496,51 @@ SELECT dataset_id, "column", n, n_num, mn, mx, round(med, 6) AS med, all_int, ro
 SELECT dataset_id, "column", round(status, 6) AS status, round(currency, 6) AS currency,
   round(invoice, 6) AS invoice, round(person, 6) AS person, round(title, 6) AS title,
   round(address, 6) AS address FROM prof""",
-    "signal_scores": _score_oracle(),
+    "signal_scores": f"""{_SMALL},
+signals AS ({_signals()})
+SELECT dataset_id, "column", target, signal, round(score, 4) AS score FROM signals""",
+    "fuzzy_match": f"""WITH RECURSIVE {sql.ALIASES},
+words AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS t FROM documents),
+probes AS MATERIALIZED (SELECT DISTINCT {_NORM} AS probe FROM words),
+{sql.FUZZY}
+SELECT * FROM fuzzy""",
+    "worded_dates": "WITH w AS (SELECT o_custkey, " + _WORDED.format(
+        short="strftime(o_orderdate, '%-d %b %Y')", long="strftime(o_orderdate, '%B %-d, %Y')",
+        points="strftime(o_orderdate, '%-d.%-m.%Y')") + """ AS v FROM orders),
+s AS (SELECT cast(o_custkey AS VARCHAR) AS dataset_id, count(*) AS n,
+  avg((v NOT IN ('later', '31 Feb 2001'))::INT) AS date_read FROM w GROUP BY 1)
+SELECT dataset_id, n, 0.0::DOUBLE AS date, round(date_read, 6) AS date_read,
+  CASE WHEN date_read > 0.7 THEN 75.0 END::DOUBLE AS score FROM s""",
+    "transliterate": f"""WITH texts AS (
+  SELECT 'part' AS d, p_name AS t FROM part UNION ALL SELECT 'customer', c_name FROM customer
+  UNION ALL SELECT 'nation', n_name FROM nation UNION ALL SELECT 'events', event_type FROM events),
+w AS (SELECT d, translate(lower(t), '{_ARABIC[0]}', '{_ARABIC[1]}') AS t FROM texts)
+SELECT d AS dataset_id, t AS "column", {sql.arabic("t")} AS arabic, {_NORM} AS norm, {sql.probe("t")} AS probe,
+  count(*) AS rows FROM w GROUP BY ALL""",
+    "column_mapping": f"""WITH RECURSIVE {_file_oracle("customer_year")},
+{_PROF},
+{sql.mapping_ctes(_signals(), _ALL_COLUMNS)}
+SELECT dataset_id, "column", mapped_to, confidence, match_method, human_label, "group" FROM resolved""",
+    "mapping_warnings": f"""WITH RECURSIVE {_file_oracle("part")},
+{_PROF.replace("FROM file_cells", f'FROM (SELECT * REPLACE ({_RENAMED} AS "column") FROM file_cells)')},
+{sql.mapping_ctes(_signals())},
+{sql.coverage_ctes()},
+{sql.warning_ctes(_SKIPPED)}
+SELECT dataset_id, array_to_string(warnings, chr(10)) AS warnings,
+  (SELECT string_agg("column" || '>' || mapped_to || ' ' || match_method, ',' ORDER BY pos) FROM resolved r
+   WHERE r.dataset_id = w.dataset_id) AS mapping FROM warned w""",
+    "parse_uploads": f"""WITH RECURSIVE {_UPLOADED},
+{_PROF.replace("FROM file_cells", "FROM uploaded")},
+{sql.mapping_ctes(_signals())},
+{sql.coverage_ctes()},
+{sql.warning_ctes("2")},
+firsts AS (SELECT dataset_id, "column", v, min(ord) AS ord FROM known WHERE v <> '' GROUP BY ALL),
+samples AS (SELECT dataset_id, "column", string_agg(v, '|' ORDER BY ord) AS sample_values FROM (
+  SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY dataset_id, "column" ORDER BY ord) <= 3) GROUP BY ALL)
+SELECT dataset_id, "column", mapped_to, confidence, match_method, human_label, "group", sample_values,
+  ml_coverage_pct, len(warnings)::INT AS warnings
+FROM resolved JOIN covered USING (dataset_id) JOIN warned USING (dataset_id)
+LEFT JOIN samples USING (dataset_id, "column")""",
     "cooccurrence": """WITH lines AS MATERIALIZED (
   SELECT * FROM (
     SELECT l_partkey AS ds, l_quantity AS a, round(l_extendedprice / l_quantity, 2) AS b,
@@ -466,23 +549,7 @@ SELECT dataset_id, "column", round(status, 6) AS status, round(currency, 6) AS c
         l_quantity, l_extendedprice, l_discount) AS rn FROM lineitem)),
 cells AS MATERIALIZED (
   SELECT ds, rn, unnest([0, 1, 2, 3]) AS pos, unnest([a, b, c, d]) AS x FROM lines),
-usable AS (SELECT ds, pos, quantile_cont(x, 0.5) AS med FROM cells GROUP BY ALL
-  HAVING count(*) > 10 AND min(x) >= 0),
-t AS (
-  SELECT a.ds, a.pos AS pa, b.pos AS pb, c.pos AS pc,
-    round_even(a.x * b.x, 2) / nullif(round_even(c.x, 2), 0) AS r
-  FROM cells a JOIN cells b ON b.ds = a.ds AND b.rn = a.rn AND b.pos > a.pos
-  JOIN cells c ON c.ds = a.ds AND c.rn = a.rn AND c.pos <> a.pos AND c.pos <> b.pos),
-held AS (SELECT ds, pa, pb, pc FROM t GROUP BY ALL
-  HAVING count(r) >= 5 AND quantile_cont(r, 0.5) BETWEEN 0.9 AND 1.1 AND stddev_samp(r) < 0.3),
-sided AS (
-  SELECT h.*, ua.med < ub.med AS lower_a FROM held h
-  JOIN usable ua ON ua.ds = h.ds AND ua.pos = pa JOIN usable ub ON ub.ds = h.ds AND ub.pos = pb
-  JOIN usable uc ON uc.ds = h.ds AND uc.pos = pc),
-gains AS (
-  SELECT ds, pc AS pos, 'revenue' AS target, 50.0 AS bonus FROM sided
-  UNION ALL SELECT ds, CASE WHEN lower_a THEN pa ELSE pb END, 'order_item.quantity', 40.0 FROM sided
-  UNION ALL SELECT ds, CASE WHEN lower_a THEN pb ELSE pa END, 'product.price', 40.0 FROM sided)
+""" + sql.COOCCURRENCE + """
 SELECT cast(ds AS VARCHAR) AS dataset_id, cast(pos AS BIGINT) AS pos, target,
   max(bonus)::DOUBLE AS bonus FROM gains GROUP BY ALL""",
     "sample_sizes": f"""WITH n AS (
@@ -500,7 +567,9 @@ three AS (SELECT * FROM firsts
 SELECT dataset_id, "column", string_agg(v, '|' ORDER BY ord) AS values FROM three GROUP BY ALL""",
     "conflicts": _CLAIMS + """
 SELECT dataset_id, "column", mapped_to, confidence, human_label, lost FROM resolved""",
-    "coverage": _coverage_oracle(),
+    "coverage": f"""{_CLAIMS},
+{sql.coverage_ctes()}
+SELECT dataset_id, missing, derived, absent, ml_coverage_pct FROM covered""",
     "forward_fill": """
 SELECT event_type, event_id,
   last_value(CASE WHEN event_id % 7 = 0 THEN value END IGNORE NULLS) OVER w AS value,

@@ -12,7 +12,8 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 FAST = ["orders_revenue", "clean_counters", "numeric_clean", "products_dim", "order_items",
         "order_margins", "training_table", "header_detect", "column_profile", "coverage",
         "conflicts", "forward_fill", "product_facts", "cluster_summary", "name_clusters",
-        "refresh_decisions", "run_history"]
+        "refresh_decisions", "run_history", "fuzzy_match", "transliterate", "column_mapping",
+        "mapping_warnings", "worded_dates"]
 
 
 @pytest.fixture(scope="module")
