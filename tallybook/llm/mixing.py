@@ -6,8 +6,9 @@
    domain's expected tokens, sum(rate * tokens * membership), and its target, starting at rate 1 for all.
    Each step is one aggregate of one row over the written memberships: only the domains' sums, a few
    numbers, reach the driver, and a document's rate is a column expression over them.
-   With `keep_all` no rate is below 1, so every row comes out: rates are then a weight for each domain, averaged
-   by membership, and the least weight is 1. The weights follow from the domains' second moments alone.
+   It goes on until the targets are met or no step brings them nearer; what then remains is the column `excess`,
+   with a warning, or with `strict` an error.
+   With `keep_all` rates are projected to 1 and more, so every row comes out, and the total grows as far as that needs.
 3. A rate becomes whole copies: its integer part, and one more if a hash of the document falls below its
    fraction. So the same rows are chosen at every run and on every retry.
 
@@ -33,10 +34,13 @@ from tallybook.session import cut
 BUCKETS = 2048     # numbers that words are hashed to
 EVIDENCE = 4       # words that a longer text's evidence counts for, so that mixed texts stay mixed
 MAX_DOMAINS = 200  # the classifier is a set of literals of this many rows
-STEPS = 24
-SCALED = 4
-PRECISION = 1e-4
-MOST_GROWTH = 2
+PRECISION = 1e-4   # of all tokens
+MISSED = 1e-3      # excess from which targets count as missed
+LEAST_GAIN = 1e-3  # share by which a step must bring the targets nearer
+MOST_STEPS = 500   # a guard against endless fits only; the excess tells what is left
+RIDGES = (0.0, 1e-3, 1e-2, 1e-1)
+LENGTHS = (1, 8, 64)
+MOST_GROWTH = 2    # with `keep_all`, times what pure domains would need
 
 
 def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -112,75 +116,106 @@ def with_memberships(rows: DataFrame, domains: Domains) -> DataFrame:
             .drop("__l", *names))
 
 
+def _vector(numbers) -> str:
+    return f"array({', '.join(f'{float(x)!r}D' for x in numbers)})"
+
+
+def _less(before: Column, step: Column, least: float) -> Column:
+    """The rate after one more step, projected."""
+    dot = F.aggregate(F.zip_with("__p", step, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+    return F.greatest(F.lit(least), before - dot)
+
+
 def rate(steps: list[np.ndarray], least: float = 0.0) -> Column:
-    """The rate of a document after these steps, each a change per unit of membership."""
-    made = reduce(lambda r, step: F.greatest(F.lit(least), r - total(
-        F.col("__p")[d] * F.lit(float(s)) for d, s in enumerate(step))), steps, F.lit(1.0))
+    """The rate of a document after these steps, each a change per unit of membership; one constant, however many."""
+    if not steps:
+        return F.lit(1.0)
+    made = F.aggregate(F.expr(f"array({', '.join(map(_vector, steps))})"), F.lit(1.0), lambda r, s: _less(r, s, least))
     return F.when(F.col("__tokens") > 0, made).otherwise(F.lit(1.0))
 
 
 def fit_rates(rows: DataFrame, domains: Domains, targets: dict[str, float], keep_all: bool = False,
-              steps: int = STEPS, precision: float = PRECISION) -> list[np.ndarray]:
-    """Projected gradient steps on rows with __tokens and __p.
+              precision: float = PRECISION, most_growth: float = MOST_GROWTH) -> tuple[list[np.ndarray], float]:
+    """Projected gradient steps on rows with __tokens and __p, and the largest excess of a domain's share that stays.
 
-    The total number of tokens stays, or, with `keep_all`, grows just so far that no document has to shrink; see
-    `raises`.
+    The total number of tokens stays, or, with `keep_all`, grows; see `growth`.
     A document's gradient is its tokens times sum(p_d * excess_d). Dividing by the tokens (steps in the
-    metric that weighs documents by tokens) leaves the same optimum and moves all documents alike. The
-    first SCALED steps are scaled by the inverse of the memberships' token-weighted second moments, which
-    reaches the targets at once where no rate is cut at zero; later ones are plain, one over the largest
-    eigenvalue long, so that each is a descent.
+    metric that weighs documents by tokens) leaves the same optimum and moves all documents alike. Steps are tried
+    together in one aggregate and the best one is taken: plain ones, one over the largest eigenvalue long and
+    longer, the first of which is always a descent; and ones scaled by the inverse, with several ridges, of the memberships'
+    token-weighted second moments over the documents above the least rate, the first of which reaches the targets at
+    once where it cuts no rate. The fit ends when the targets are met or no step gains LEAST_GAIN.
     """
     k = len(domains.names)
     if not k:
-        return []
+        return [], 0.0
     weights = np.array([max(0.0, targets.get(n, 0.0)) for n in domains.names])
     given = np.array([n in targets for n in domains.names])
     if not weights.sum():
         raise ValueError("no target names a domain of the labelled rows")
+    least = float(keep_all)
     p, t = F.col("__p"), F.col("__tokens").cast("double")
-    moments = [F.sum(t * p[a] * p[b]).alias(f"m{a}_{b}") for a in range(k) for b in range(a, k)]
-    first = rows.agg(F.sum(t).alias("t"), *moments).first()
-    total = first["t"] or 0.0
+    pairs = [(a, b) for a in range(k) for b in range(a, k)]
+
+    def moments(steps: list[np.ndarray]) -> tuple[np.ndarray, float]:
+        """Second moments of the documents above the least rate, and the tokens at rate 1."""
+        above = F.when((rate(steps, least) > least) | F.lit(not steps), t).otherwise(0.0)
+        got = rows.select("__p", t.alias("__t"), above.alias("__a")).agg(
+            F.sum("__t").alias("t"), *[F.sum(F.col("__a") * p[a] * p[b]).alias(f"m{a}_{b}") for a, b in pairs]).first()
+        second = np.zeros((k, k))
+        for a, b in pairs:
+            second[a, b] = second[b, a] = got[f"m{a}_{b}"] or 0.0
+        return second, got["t"] or 0.0
+
+    def tokens(steps: list[np.ndarray], tried: list[np.ndarray]) -> np.ndarray:
+        """Expected tokens of each domain after each of the tried steps."""
+        made = rows.where("__tokens > 0").select("__p", t.alias("__t"), rate(steps, least).alias("__r"))
+        made = made.select("__p", *[(_less(F.col("__r"), F.expr(_vector(x)), least) * F.col("__t")).alias(f"t{i}")
+                                    for i, x in enumerate(tried)])
+        got = made.agg(*[F.sum(F.col(f"t{i}") * p[d]).alias(f"s{i}_{d}") for i in range(len(tried)) for d in range(k)]).first()
+        return np.array([[got[f"s{i}_{d}"] or 0.0 for d in range(k)] for i in range(len(tried))])
+
+    second, total = moments([])
     if not total:
-        return []
-    second = np.array([[first[f"m{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)]) / total
-    share, goal = second.sum(1), weights / weights.sum()  # at rate 1: E[p_a] = sum over b of E[p_a p_b]
+        return [], 0.0
+    second, goal = second / total, weights / weights.sum()
+    share = second.sum(1)  # at rate 1: E[p_a] = sum over b of E[p_a p_b]
     if keep_all:
         goal = np.where(given, goal * share[given].sum(), share)
-        return [1 - raises(second, goal)]
-    inverse = np.linalg.pinv(second, rcond=1e-6)
+        goal = goal * growth(second, goal, most_growth)
+    longest = np.linalg.eigvalsh(second)[-1]
     done: list[np.ndarray] = []
     excess = share - goal
-    for _ in range(steps):
-        if math.sqrt(float((excess**2).sum())) <= precision:
+
+    def size(x: np.ndarray) -> float:
+        return math.sqrt(float((x**2).sum()))
+
+    while size(excess) > precision and len(done) < MOST_STEPS:
+        tried = [np.linalg.pinv(second + q * longest * np.eye(k), rcond=1e-6) @ excess * part
+                 for q in RIDGES for part in (1, 0.3)] + [excess / longest * n for n in LENGTHS]
+        gaps = tokens(done, tried) / total - goal
+        best = int(np.argmin([size(g) for g in gaps]))
+        if size(gaps[best]) > (1 - LEAST_GAIN) * size(excess):
             break
-        done.append(inverse @ excess if len(done) < SCALED else excess / np.linalg.eigvalsh(second)[-1])
-        got = rows.agg(*[F.sum(rate(done) * t * p[d]).alias(f"s{d}") for d in range(k)]).first()
-        excess = np.array([got[d] for d in range(k)]) / total - goal
-    return done
+        done.append(tried[best])
+        excess = gaps[best]
+        if size(excess) > precision:
+            second = moments(done)[0] / total
+    return done, float(np.abs(excess).max())
 
 
-def raises(second: np.ndarray, goal: np.ndarray) -> np.ndarray:
-    """Weights of the domains, 1 or more, under which the domains' expected tokens have the shares of `goal`.
+def growth(second: np.ndarray, goal: np.ndarray, most: float = MOST_GROWTH) -> float:
+    """How many times the tokens must grow so that every document keeps a rate of 1 or more.
 
-    A document's rate is its memberships' mean of the weights, so the expected tokens are second @ weights. If
-    only weights below 0, or tokens beyond MOST_GROWTH of what pure domains would need, gave those shares (as with
-    domains that the classifier can't tell apart), the weights are those that come nearest to them.
+    Pure domains need the largest ratio of share to goal. Mixed ones need more, as what raises one raises others: so
+    much that the weights of the domains that give the goal are all 1 or more. Where that is more than `most` times
+    the first, or no such weights exist (domains that the classifier can't tell apart), the first it is.
     """
     wanted = goal > 0
-    least = max(1.0, float((second.sum(1)[wanted] / goal[wanted]).max()))
+    pure = max(1.0, float((second.sum(1)[wanted] / goal[wanted]).max()))
     exact = np.linalg.pinv(second, rcond=1e-6) @ goal
-    if exact.min() > 0 and 1 / exact.min() <= MOST_GROWTH * least and np.abs(second @ exact - goal).max() <= PRECISION:
-        return exact / exact.min()
-    warnings.warn("targets are out of reach while every document is kept; mixed as near to them as that allows")
-    weights, step = np.ones(len(goal)), 1 / np.linalg.eigvalsh(second)[-1] ** 2
-    for _ in range(100_000):  # a few numbers on the driver
-        moved = np.maximum(weights - step * (second @ (second @ weights - least * goal)), 1.0)
-        if np.abs(moved - weights).max() < 1e-9:
-            break
-        weights = moved
-    return weights
+    reached = exact.min() > 0 and np.abs(second @ exact - goal).max() <= PRECISION
+    return float(1 / exact.min()) if reached and 1 / exact.min() <= most * pure else pure
 
 
 def copies(key: list[str]) -> Column:
@@ -191,37 +226,47 @@ def copies(key: list[str]) -> Column:
 
 
 def mix(docs: DataFrame, domain: str, targets: dict[str, float], teach: Column | None = None,
-        keep_all: bool = False) -> DataFrame:
-    """doc_id, tokens, membership (map from domain to probability), rate, copies for every row.
+        keep_all: bool = False, strict: bool = False, most_growth: float = MOST_GROWTH) -> DataFrame:
+    """doc_id, tokens, membership (map from domain to probability), rate, excess (the largest gap between a domain's
+    share of the expected tokens and its target, the same for all rows), copies for every row.
 
-    `domain` names the label column, `teach` says which rows may be learned from (default: all).
+    `domain` names the label column, `teach` says which rows may be learned from (default: all). Targets missed
+    by more than MISSED give a warning, or with `strict` a ValueError.
     """
-    rows, domains, steps = prepared(docs, domain, targets, teach, keep_all)
+    rows, domains, (steps, excess) = prepared(docs, domain, targets, teach, keep_all, strict, most_growth)
     named = (F.map_from_arrays(F.array(*map(F.lit, domains.names)), F.col("__p")) if domains.names
              else F.create_map().cast("map<string,double>"))
     return (rows.select("doc_id", F.col("__tokens").alias("tokens"), named.alias("membership"),
-                        rate(steps, float(keep_all)).alias("rate"), "__hash")
+                        rate(steps, float(keep_all)).alias("rate"), F.lit(excess).alias("excess"), "__hash")
             .withColumn("copies", copies(["doc_id", "__hash"])).drop("__hash"))
 
 
 def prepared(docs: DataFrame, domain: str, targets: dict[str, float],
-             teach: Column | None = None, keep_all: bool = False) -> tuple[DataFrame, Domains, list[np.ndarray]]:
-    """Written memberships of every row, the classifier, and the fitted steps."""
+             teach: Column | None = None, keep_all: bool = False, strict: bool = False,
+             most_growth: float = MOST_GROWTH) -> tuple[DataFrame, Domains, tuple[list[np.ndarray], float]]:
+    """Written memberships of every row, the classifier, and the fitted steps with their excess."""
     narrow = docs.select("doc_id", "text", F.col(domain).alias("__domain"),
                          (F.lit(True) if teach is None else teach).alias("__teach"),
                          F.xxhash64("text").alias("__hash"))
     base = cut(measured(narrow, ["doc_id", "__domain", "__teach", "__hash"]))
     domains = learn(base.where("__teach"), "__domain")
     rows = cut(with_memberships(base, domains).select("doc_id", "__tokens", "__p", "__hash"))
-    return rows, domains, fit_rates(rows, domains, targets, keep_all)
+    fitted = fit_rates(rows, domains, targets, keep_all, most_growth=most_growth)
+    if fitted[1] > MISSED:
+        text = f"targets are missed: a domain's share is {fitted[1]:.4f} off"
+        if strict:
+            raise ValueError(text)
+        warnings.warn(text)
+    return rows, domains, fitted
 
 
 def mixed(docs: DataFrame, domain: str, targets: dict[str, float], columns: list[str],
-          keep_all: bool = False) -> DataFrame:
+          keep_all: bool = False, strict: bool = False, most_growth: float = MOST_GROWTH) -> DataFrame:
     """The documents themselves, each as often as its copies say; memberships are worked out again from
     the text, so texts aren't shuffled."""
-    _, domains, steps = prepared(docs, domain, targets, keep_all=keep_all)
-    rows = with_memberships(measured(docs, list(dict.fromkeys([*columns, "doc_id", "text"]))), domains).select("*", once(rate(steps, float(keep_all)).alias("rate")))
+    _, domains, (steps, _) = prepared(docs, domain, targets, None, keep_all, strict, most_growth)
+    rows = with_memberships(measured(docs, list(dict.fromkeys([*columns, "doc_id", "text"]))), domains).select(
+        "*", once(rate(steps, float(keep_all)).alias("rate")))
     rows = rows.withColumn("__hash", F.xxhash64("text"))
     rows = rows.withColumn("__copies", copies(["doc_id", "__hash"])).where("__copies > 0")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*columns)

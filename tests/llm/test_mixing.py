@@ -56,11 +56,62 @@ def test_keep_all_drops_no_row(spark):
             assert abs(sum(r.tokens * r.rate * r.membership[k] for r in got) / total - want) < 2e-3
 
 
-def test_raises_out_of_reach():
+def test_growth_out_of_reach():
     alike = np.outer([0.8, 0.2], [0.8, 0.2])  # every document has the same memberships
-    with pytest.warns(UserWarning):
-        got = mixing.raises(alike, np.array([0.2, 0.8]))
-    assert got.min() >= 1 and np.isfinite(got).all()
+    assert np.isclose(mixing.growth(alike, np.array([0.2, 0.8])), 4)
+
+
+def rows_with(spark, p, tokens):
+    rows = spark.createDataFrame([([float(x) for x in v], int(t)) for v, t in zip(p, tokens)],
+                                 "__p array<double>, __tokens long")
+    return rows, mixing.Domains(list("xyz")[:p.shape[1]], None, None)
+
+
+def made_rates(p, steps, least):
+    r = np.ones(len(p))
+    for s in steps:
+        r = np.maximum(least, r - p @ s)
+    return r
+
+
+def least_squares(p, t, goal, least, rounds=100_000):
+    """Plain projected gradient in NumPy; the smallest distance found."""
+    r = np.ones(len(p))
+    length = np.linalg.eigvalsh((p * t[:, None]).T @ p)[-1]
+    for _ in range(rounds):
+        gap = (r * t) @ p - goal
+        if np.abs(gap).max() < 1e-7:
+            break
+        r = np.maximum(least, r - p @ gap / length)
+    return np.linalg.norm(gap)
+
+
+@pytest.mark.parametrize("goal, least", [((0.3, 0.3, 0.4), 0), ((0.9, 0.1, 0.0), 0), ((0.02, 0.97, 0.01), 0),
+                                         ((0.5, 0.25, 0.25), 1)])
+def test_rates_are_as_near_as_brute_force(spark, goal, least):
+    rng = np.random.default_rng(4)
+    p = np.vstack([rng.dirichlet((30, 1, 1), 80), rng.dirichlet((1, 9, 1), 25), rng.dirichlet((0.2, 0.2, 6), 15), np.eye(3)])
+    tokens = rng.integers(1, 300, len(p)).astype(float)
+    rows, domains = rows_with(spark, p, tokens)
+    steps, excess = mixing.fit_rates(rows, domains, dict(zip("xyz", goal)), bool(least))
+    r = made_rates(p, steps, least)
+    shares = (r * tokens) @ p / tokens.sum()
+    want = np.array(goal) * (shares.sum() if least else 1)
+    assert r.min() >= least and np.isclose(excess, np.abs(shares - want).max(), atol=1e-3)
+    near = least_squares(p, tokens / tokens.sum(), want, least)
+    assert np.linalg.norm(shares - want) <= near + 1e-3
+
+
+def test_missed_targets_are_said(spark):
+    docs = spark.createDataFrame([(i, "same words in all", "p" if i % 4 else "q") for i in range(40)],
+                                 "doc_id long, text string, kind string")
+    for keep_all in (False, True):
+        with pytest.warns(UserWarning, match="missed"):
+            got = mixing.mix(docs, "kind", {"p": 0.1, "q": 0.9}, keep_all=keep_all).collect()
+        assert len(got) == 40 and {r.excess > 0.1 for r in got} == {True}
+        assert min(r.rate for r in got) >= keep_all
+        with pytest.raises(ValueError, match="missed"):
+            mixing.mix(docs, "kind", {"p": 0.1, "q": 0.9}, keep_all=keep_all, strict=True)
 
 
 def test_zero_target_cuts_rates_at_zero(spark):
