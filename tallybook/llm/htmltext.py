@@ -3,11 +3,13 @@
 The parser's events are streamed into lines, one per block of the page: each line knows its text, how many
 tags it holds, its nearest containers, and whether it stands inside something that is never content
 (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments). The
-ratio of text to tags is smoothed over neighbouring lines by a Gaussian kernel, and lines whose smoothed
-ratio reaches the page's threshold (the ratios' standard deviation) are seeds. The regions, that is the
-containers, of the seeds are the content, and every line of them that isn't excluded is kept, so a short
-paragraph of an article is not lost. A class, id or role excludes by the last part of one of its names (see
-`named`), but classes and ids never exclude an article, or a container with most of the page's text. If a page has an `article` or `main` with text, only such regions count.
+ratio of text to tags is smoothed over neighbouring lines by a Gaussian kernel. Lines fall into regions: an article,
+the rest of a `main`, and elsewhere the nearest container. On every page the smoothed ratio chooses among them: a
+region is content if one of its lines reaches the page's threshold, the ratios' standard deviation and a LEAST-th of
+the best line at least. Structure is a prior on the ratio: on pages with an article or main, lines outside of them
+count an OUTSIDE-th. What encloses a chosen article is chosen too. Every line of a chosen region that isn't excluded is
+kept, so a short paragraph of an article is not lost. A class, id or role excludes by the last part of one of its names
+(see `named`), but classes and ids never exclude an article, or a container with most of the page's text.
 
 Character references are decoded, white space inside a block (line breaks too) becomes one space, blocks are
 trimmed, empty ones dropped, and the rest joined in page order by a blank line. Null and empty pages give an
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from tallybook.llm.common import text_slices
 
 SIGMA = 1.0      # of the Gaussian kernel, in lines
+LEAST = 8.0      # parts of the best line's ratio that a region's best line must reach
+OUTSIDE = 32.0   # times that a ratio outside of articles counts less, where a page has any
 FEED = 1 << 20   # characters given to the parser at once
 
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset
@@ -69,8 +73,9 @@ def named(name: str) -> str | None:
 
 
 class Lines(HTMLParser):
-    """Collects lines (text, tags, region, inside article or main, mark) from parser events. A mark is 0, HARD, or
-    the number of the innermost element that its class or id may exclude."""
+    """Collects lines (text, tags, region, inside article or main, mark) from parser events. Articles and mains that stand
+    in neither are regions as a whole. A mark is 0, HARD, or the number of the innermost element that its class or id may
+    exclude."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -79,7 +84,7 @@ class Lines(HTMLParser):
         self.marks: list[tuple[int, bool]] = [(0, False), (0, False)]
         self.text: list[str] = []
         self.tags = 0
-        self.regions = 0
+        self.around = [0]  # of each region: the article or main around it, 0 if none
         # open elements: tag, mark, region, inside article or main
         self.open: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
 
@@ -107,9 +112,9 @@ class Lines(HTMLParser):
             elif asides := self.asides(tag, attrs):
                 self.marks.append((mark, not REPLIES.isdisjoint(asides)))
                 mark = len(self.marks) - 1
-        if tag in REGIONS:
-            self.regions += 1
-            region = self.regions
+        if tag == "article" or (tag in REGIONS and not content):
+            self.around.append(region if content else 0)
+            region = len(self.around) - 1
         self.open.append((tag, mark, region, content or tag in CONTENT))
 
     @staticmethod
@@ -198,16 +203,17 @@ def main_text(page: str | None) -> str:
     excluded = parser.excluded()
     if all(excluded):
         return ""
-    ratio = np.array([0.0 if out else len(text) / max(tags, 1) for (text, tags, *_), out in zip(lines, excluded)])
     allowed = ~np.array(excluded)
-    smooth = np.where(allowed, smoothed(ratio), 0)
+    ratio = np.array([len(text) / max(tags, 1) for text, tags, *_ in lines]) * allowed
     content = np.array([inside for _, _, _, inside, _ in lines])
-    if (content & allowed).any():
-        allowed &= content
-    seeds = allowed & (smooth >= min(float(ratio.std()), float(smooth[allowed].max())))
+    weight = np.where(content | ~(content & allowed).any(), 1.0, 1 / OUTSIDE)
+    smooth = smoothed(ratio) * weight * allowed
+    best = float(smooth.max())
+    seeds = allowed & (smooth >= max(min(float(ratio.std()), best), best / LEAST))
     regions = {lines[k][2] for k in np.flatnonzero(seeds)}
-    if content[allowed].any():  # an article's sections belong to it, whatever their ratio
-        regions = {lines[k][2] for k in np.flatnonzero(allowed)}
+    for region in list(regions):
+        while region := parser.around[region]:
+            regions.add(region)
     return "\n\n".join(line[0] for line, ok in zip(lines, allowed) if ok and line[2] in regions)
 
 

@@ -1,7 +1,9 @@
 import hashlib
+import math
 import os
 import re
 
+import numpy as np
 import pytest
 from corpus import AWKWARD, CLASH, awkward, none
 from pyspark.sql import functions as F
@@ -85,6 +87,31 @@ def test_classes_of_ordinary_themes(page, want):
     assert htmltext.main_text(page) == want
 
 
+TEASER = "<article>" + "".join(f"<p><a href='/{k}'><b>more</b></a> <i>{k}</i></p>" for k in "abcdef") + "</article>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article>{STORY}</article>{TEASER}", TOLD),
+    (f"{TEASER}<main><h1>Head</h1><article>{STORY}</article>{TEASER}</main>", "Head\n\n" + TOLD),
+    (f"<div>{STORY.replace('A first', 'Some other')}</div><article>{STORY}</article>", TOLD),
+    (f"<article>{STORY}<section><p>ok</p></section></article>{TEASER}", TOLD + "\n\nok"),
+])
+def test_the_ratio_chooses_among_articles(page, want, monkeypatch):
+    assert htmltext.main_text(page) == want
+    monkeypatch.setattr(htmltext, "smoothed", lambda ratio: np.full(len(ratio), 9.0))
+    assert (htmltext.main_text(page) == want) == (TEASER not in page)
+
+
+def test_smoothing_equals_brute_force():
+    ratio = np.random.default_rng(1).exponential(50, 40)
+    want = []
+    for i in range(40):
+        near = [(math.exp(-(i - j) ** 2 / (2 * htmltext.SIGMA**2)), r) for j, r in enumerate(ratio)
+                if abs(i - j) <= math.ceil(3 * htmltext.SIGMA)]
+        want.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    assert np.allclose(htmltext.smoothed(ratio), want)
+
+
 def test_long_page_is_read_whole():
     page = "<article>" + "".join(f"<p>para {i}</p>" for i in range(120_000)) + "</article>"
     assert htmltext.main_text(page) == "\n\n".join(f"para {i}" for i in range(120_000))
