@@ -37,7 +37,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         cells = F.when(which == i, F.array(*columns)).otherwise(cells)
         names = F.when(which == i, F.array(*map(F.lit, columns))).otherwise(names)
     body = raw.select("dataset_id", "_ord", cells.alias("cells"))
-    datasets = raw.select("dataset_id").distinct()
+    datasets = cut(raw.select("dataset_id").distinct())  # read five times below
     above = lambda n: F.lit(n).cast("long").alias("_ord")
     heads = datasets.select("dataset_id", above(-1), names.alias("cells"))
     titles = datasets.where(which == 1).select("dataset_id", above(-2), F.array(F.lit("Sales")).alias("cells"))
