@@ -306,3 +306,14 @@ def test_cleaners_accept_any_text(spark, values):
     once = column(spark, values, tx.normalise_header)
     assert column(spark, once, tx.normalise_header) == once
     column(spark, values, tx.amount)
+
+
+def test_the_entities_of_a_batch_are_written_once(spark):
+    """A load reads a batch's entities several times: they are scans, not aggregates of all lines."""
+    from tallybook.plans import sales
+    mapping = cl.Mapping({"no": "order_id", "code": "product_id", "who": "customer_id", "q": "order_item.quantity"})
+    lines = cut(lines_of(spark, [("d", 0, "o1", "p1", "c1", "2"), ("d", 1, "o1", "p2", "c1", "1")],
+                         "no string, code string, who string, q string", mapping))
+    batch = sales._entities(lines)
+    assert {n: df.count() for n, df in batch.items()} == {"customers": 1, "products": 2, "orders": 1, "order_items": 2}
+    assert not any("Aggregate" in df._jdf.queryExecution().optimizedPlan().toString() for df in batch.values())
