@@ -317,3 +317,11 @@ def test_the_entities_of_a_batch_are_written_once(spark):
     batch = sales._entities(lines)
     assert {n: df.count() for n, df in batch.items()} == {"customers": 1, "products": 2, "orders": 1, "order_items": 2}
     assert not any("Aggregate" in df._jdf.queryExecution().optimizedPlan().toString() for df in batch.values())
+
+
+def test_partitions_stay_small_whatever_the_table(spark):
+    """Cleaned lines unfold about tenfold in memory, so their shuffles are cut into small partitions."""
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+    lines = spark.range(4_000_000).selectExpr("sha2(cast(id as string), 256) as text", "id % 100000 as k") \
+        .repartition("k")
+    assert lines.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
