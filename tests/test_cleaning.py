@@ -325,3 +325,34 @@ def test_partitions_stay_small_whatever_the_table(spark):
     lines = spark.range(4_000_000).selectExpr("sha2(cast(id as string), 256) as text", "id % 100000 as k") \
         .repartition("k")
     assert lines.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def test_dates_are_read_from_written_lines(spark, tmp_path):
+    """The raw lines are made once: neither the vote on the notations nor the readings go back to them."""
+    spark.createDataFrame([("d", 0, "1", "31/12/2020", "2"), ("d", 1, "2", "1/2/2021", "1"), ("d", 2, "C3", "2020-01-01", "1")],
+                          "dataset_id string, _ord long, no string, day string, q string").write.parquet(f"{tmp_path}/raw")
+    raw = spark.read.parquet(f"{tmp_path}/raw")
+    mapping = cl.Mapping({"no": "order_id", "day": "order_date", "q": "order_item.quantity"})
+    got = cl.written_lines(raw, mapping)
+    assert not set(raw.inputFiles()) & set(got.inputFiles())
+    want = cl.clean_lines(raw, mapping)
+    assert sorted(got.collect(), key=lambda r: r._ord) == sorted(want.select(got.columns).collect(), key=lambda r: r._ord)
+    few = cl.written_lines(raw, mapping, ["dataset_id", "_ord", "order_date"])
+    assert [r.order_date for r in few.orderBy("_ord").collect()] == [datetime.datetime(2020, 12, 31), datetime.datetime(2021, 2, 1)]
+
+
+def test_what_an_order_adds_to_the_training_table_is_looked_up_last(spark):
+    """Its margin, customer and date are not carried through the lookups of products."""
+    orders = spark.createDataFrame([("d", "o1", 60.0, "c1", None, 0)],
+        "dataset_id string, externalOrderId string, profit_margin double, customerExternalId string, "
+        "createdAt timestamp_ntz, _ord long")
+    products = spark.createDataFrame([("d", "p1", "Mug", 1.0, 5, 0)],
+        "dataset_id string, externalAccId string, name string, cost double, stock long, _ord long")
+    items = spark.createDataFrame([("d", "o1", "p1", "Cup", 1, 2.0, 2.0, 9.0, 0)],
+        "dataset_id string, orderExternalId string, productAccId string, productName string, "
+        "quantity long, unitPrice double, revenue double, profit double, _ord long")
+    got = training_table(products, orders, items)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join LeftOuter" in x]
+    assert len(joins) == 3 and "orderExternalId" in joins[0]
+    assert [(r.cost, r.profit_margin, r.customer_id) for r in got.collect()] == [(1.0, 60.0, "c1")]
