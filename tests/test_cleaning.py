@@ -319,14 +319,6 @@ def test_the_entities_of_a_batch_are_written_once(spark):
     assert not any("Aggregate" in df._jdf.queryExecution().optimizedPlan().toString() for df in batch.values())
 
 
-def test_partitions_stay_small_whatever_the_table(spark):
-    """Cleaned lines unfold about tenfold in memory, so their shuffles are cut into small partitions."""
-    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
-    lines = spark.range(4_000_000).selectExpr("sha2(cast(id as string), 256) as text", "id % 100000 as k") \
-        .repartition("k")
-    assert lines.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
-
-
 def test_dates_are_read_from_written_lines(spark, tmp_path):
     """The raw lines are made once: neither the vote on the notations nor the readings go back to them."""
     spark.createDataFrame([("d", 0, "1", "31/12/2020", "2"), ("d", 1, "2", "1/2/2021", "1"), ("d", 2, "C3", "2020-01-01", "1")],
@@ -356,3 +348,32 @@ def test_what_an_order_adds_to_the_training_table_is_looked_up_last(spark):
     joins = [x for x in plan.splitlines() if "Join LeftOuter" in x]
     assert len(joins) == 3 and "orderExternalId" in joins[0]
     assert [(r.cost, r.profit_margin, r.customer_id) for r in got.collect()] == [(1.0, 60.0, "c1")]
+
+
+def test_partitions_stay_small_whatever_the_table(spark):
+    """Cleaned lines unfold about tenfold in memory, so their shuffles are cut into small partitions."""
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+    lines = spark.range(4_000_000).selectExpr("sha2(cast(id as string), 256) as text", "id % 100000 as k") \
+        .repartition("k")
+    assert lines.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def test_a_load_into_an_empty_store_compares_with_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([("b", "1"), ("b", "2"), (None, "3")], "business_id string, id string")
+    fresh = ld._marked(rows, stores.read_table(spark, str(tmp_path), "order"))
+    assert "Join" not in fresh._jdf.queryExecution().optimizedPlan().toString()
+    stored = spark.createDataFrame([("b", "1"), ("b", "1"), (None, "3")], "business_id string, id string")
+    assert {r.id: r._seen for r in ld._marked(rows, stored).collect()} == {"1": True, "2": False, "3": False}
+
+
+def test_items_are_numbered_before_they_carry_the_id_of_their_order(spark):
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    keys = spark.createDataFrame([("b", "1", "c1")], "business_id string, _key string, _id string")
+    orders = ld.resolve_orders(orders_of(spark, ["o1"]), keys, now)
+    none = spark.createDataFrame([], ld.STORED["product"])
+    products = spark.createDataFrame([("b", "P1", "p1", None, 0)],
+                                     "business_id string, id string, external_acc_id string, name string, _ord long")
+    found = ld.resolve_items(items_of(spark, [("o1", "p1", 1), ("o1", "p1", 1), (None, "p1", 1)]), orders, none, products)
+    window = next(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x)
+    assert "_order_key" in window and "order_id" not in window
+    assert found.filter("_reason is null").select("id").distinct().count() == 2
