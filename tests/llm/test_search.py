@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from corpus import AWKWARD, WORDS, awkward, bm25_words, none, prose
 
 from tallybook.llm import ann, bm25
@@ -100,6 +101,57 @@ def test_unread_words_change_nothing(monkeypatch):
     assert sum(reads) < sizes.sum() / 2
 
 
+def test_rows_of_a_query_do_not_grow_with_the_shards(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "SHARD", 10)
+    matches, made = bm25.matches, []
+    monkeypatch.setattr(bm25, "matches", lambda *a: made.append(matches(*a)) or made[-1])
+    rng = np.random.default_rng(17)
+    rows = [(i, " ".join(rng.choice(WORDS, int(rng.integers(1, 40))))) for i in range(400)]  # 40 shards
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    assert rows_of(bm25.search(docs)) == brute_bm25(rows)
+    assert made[0].count() <= bm25.TOP * bm25.PARTS * 20
+
+
+def test_floors_and_blocks_lose_nothing():
+    rng = np.random.default_rng(19)
+    n = 900
+    sizes = np.array([int(rng.integers(2, 40)) for _ in range(80)] + [int(rng.integers(60, 800)) for _ in range(40)])
+    docs = np.concatenate([np.sort(rng.choice(n, s, replace=False)) for s in sizes])
+    scores = rng.uniform(0.1, 5, len(docs))
+    scores[rng.random(len(docs)) < 0.01] += 90  # a few documents far ahead, so that floors leave few blocks
+    ids = rng.permutation(n)
+    lists = bm25.Lists(docs, scores, sizes, ids)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    queries = [np.sort(rng.choice(len(sizes), int(rng.integers(1, 100)), replace=False)) for _ in range(60)]
+    own = rng.choice(n, 60).tolist()
+    want = []
+    for words, q in zip(queries, own):
+        held = np.isin(of, words)
+        totals = np.bincount(docs[held], scores[held], n)
+        want.append(sorted((-round(t, 9), i) for t, i in zip(totals.tolist(), ids.tolist()) if t > 0 and i != q)[:10])
+    rounded = lambda found: [[(round(s, 9), i) for s, i in f] for f in found]
+    assert rounded(lists.best_of(queries, 10, own, [0.0] * 60)) == want
+    floors = [-w[4][0] if len(w) > 4 else 0.0 for w in want]
+    got = rounded(lists.best_of(queries, 10, own, [f - 1e-8 if f else f for f in floors]))
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert sorted(lists.alike(queries).tolist()) == list(range(60))
+
+
+def test_index_holds_every_word():
+    texts = ["", None, "One two, TWO", "naïve—ÉTÉ x1", "  ", "one" + "\x00" + "two", "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    for piece in (batch, batch.slice(2, 3), batch.slice(0, 2)):
+        row, = [r.to_pylist()[0] for r in bm25._index(iter([piece]))]
+        found = bm25._binary(row["words"], row["ends"]).to_pylist()
+        sizes, docs, tfs, ids = (np.frombuffer(row[c], t) for c, t in (("sizes", "<i4"), ("docs", "<u2"), ("tfs", "<u2"), ("ids", "<i8")))
+        got = [{} for _ in ids]
+        for word, d, t in zip(np.repeat(np.array(found, object), sizes), docs.tolist(), tfs.tolist()):
+            got[d][word] = t
+        want = dict(zip(*piece.to_pydict().values()))
+        assert {int(i): g for i, g in zip(ids, got)} == {i: dict(bm25_words(t)) for i, t in want.items()}
+        assert row["total"] == sum(sum(bm25_words(t).values()) for t in want.values())
+
+
 def test_bm25_awkward(spark):
     got = bm25.search(awkward(spark))
     assert rows_of(got) == brute_bm25([r[:2] for r in AWKWARD])
