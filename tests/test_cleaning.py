@@ -377,3 +377,16 @@ def test_items_are_numbered_before_they_carry_the_id_of_their_order(spark):
     window = next(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x)
     assert "_order_key" in window and "order_id" not in window
     assert found.filter("_reason is null").select("id").distinct().count() == 2
+
+
+def test_items_that_are_left_out_carry_no_long_ids(spark):
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    keys = spark.createDataFrame([("b", "1", "c1")], "business_id string, _key string, _id string")
+    orders = ld.resolve_orders(orders_of(spark, ["o1"]), keys, now)
+    none = spark.createDataFrame([], ld.STORED["product"])
+    products = spark.createDataFrame([("b", "P1", "p1", None, 0)],
+                                     "business_id string, id string, external_acc_id string, name string, _ord long")
+    found = ld.resolve_items(items_of(spark, [("o1", "p1", 1), ("o1", "zz", 1), ("o1", "zz", 1)]), orders, none, products)
+    left = found.filter("_reason is not null")
+    assert [r.order_id for r in left.collect()] == [None, None] and left.select("id").distinct().count() == 2
+    assert "Join" not in left._jdf.queryExecution().optimizedPlan().toString()
